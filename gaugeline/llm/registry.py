@@ -1,9 +1,11 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import mixing
+from . import mixing, packing, token_files
 
 QUERIES = {
     "op5_mixing": mixing.query,
+    "op6_token_files": token_files.query,
+    "op9_packing": packing.query,
 }
 
 SQL = {
