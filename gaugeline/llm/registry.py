@@ -1,13 +1,16 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import mixing, packing, token_files
+from . import chat, mixing, packing, token_files, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
     "op5_mixing": mixing.query,
     "op6_token_files": token_files.query,
     "op9_packing": packing.query,
+    "op10_chat": chat.query,
 }
 
 SQL = {
+    "op3_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
 }
