@@ -58,8 +58,8 @@ def assemble(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), path:
 
         enc = encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 roles = enc.encode([escape(r or "", ">") for r in part.column("role").to_pylist()])
                 texts = enc.encode([escape(t or "") for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role", "text_hash")), pa.array(roles, pa.binary()), pa.array(texts, pa.binary())], names=["conv_id", "turn", "role", "text_hash", "role_ids", "text_ids"])
@@ -67,7 +67,7 @@ def assemble(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), path:
     def splice(batches):
         import pyarrow as pa
 
-        base = len(encoder(path).starts)
+        base = encoder(path).size
         now, position, start = object(), 0, 0
         for batch in batches:
             rows = [[], [], [], [], []]
@@ -98,7 +98,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        tok, base = encoder(path).tokenizer, len(encoder(path).starts)
+        tok, base = encoder(path).tokenizer, encoder(path).size
         text_of = lambda ids: tok.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
         now, out = None, []
 
@@ -139,7 +139,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
 
 def render(ids, path: str | None = None) -> str:
     """The formatted text that ids stand for."""
-    tok, base = encoder(path).tokenizer, len(encoder(path).starts)
+    tok, base = encoder(path).tokenizer, encoder(path).size
     out, part = [], []
     for i in ids:
         if i >= base:

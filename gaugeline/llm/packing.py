@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .shingles import slices
 from .tokens import encoder
 
 CAPACITY, END, GROUPS, SMALL, ROUNDS = 1024, 2, 96, 100, 600
@@ -42,17 +43,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     def cut(batches):
         import pyarrow as pa
 
-        enc, mark = encoder(path), np.array([end], dtype="<u4").tobytes()
+        enc = encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i, j, texts in slices(batch.column("text")):
+                ids, bounds = enc.encode_column(texts, end)
                 rows = [[], [], [], [], []]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    ids, at, k = memoryview(ids + mark), 0, 0
-                    n = len(ids) // 4
-                    while at < n:
-                        size = (n - at) % capacity or capacity
-                        for column, value in zip(rows, (doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]))):
+                for doc, a, b in zip(batch.column("doc_id")[i:j].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                    at, k = a, 0
+                    while at < b:
+                        size = (b - at) % capacity or capacity
+                        for column, value in zip(rows, (doc, k, at - a, size, zlib.crc32(ids[at : at + size]))):
                             column.append(value)
                         at, k = at + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, shared_dir, table
+from .shingles import slices
 from .tokens import encoder
 
 MAGIC, END = b"GLTOKEN1", 2
@@ -50,7 +51,7 @@ def train(docs: DataFrame, rows: int, sample: int = 1500, longest: int = 20_000,
     texts = [r["text"] for r in picked.select("text").limit(2 * sample).collect()]
     if len(texts) < least:
         return b""
-    width = "<u2" if len(encoder(path).starts) <= 65_536 else "<u4"
+    width = "<u2" if encoder(path).size <= 65_536 else "<u4"
     arrays = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encoder(path).encode(sorted(texts))]
     try:
         return zstandard.train_dictionary(size, arrays, k=256, d=8).as_bytes()
@@ -65,20 +66,20 @@ def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int =
         import pyarrow as pa
         import zstandard
 
-        enc, mark = encoder(path), np.array([end], dtype="<u4").tobytes()
-        wide = len(enc.starts) > 65_536
+        enc = encoder(path)
+        wide = enc.size > 65_536
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if known:
             known.precompute_compress(level)
         zstd = zstandard.ZstdCompressor(level=level, dict_data=known) if known else zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [x + mark for x in enc.encode(part.column("text").to_pylist())]
-                doc = part.column("doc_id")
+            for i, j, texts in slices(batch.column("text")):
+                ids, at = enc.encode_column(texts, end)
+                doc = batch.column("doc_id").slice(i, j - i)
                 shard = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-                frames = [zstd.compress(x if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
+                ids = ids if wide else ids.astype("<u2")
+                frames = [zstd.compress(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, shard int, ids long, frame binary")
 
@@ -152,7 +153,7 @@ def write(docs: DataFrame, folder: str, end: int = END, path: str | None = None)
     fs.create_dir(place)
     with fs.open_output_stream(f"{place}/dictionary-{digest.hex()}.zdict") as out:
         out.write(dictionary)
-    width = 4 if len(encoder(path).starts) > 65_536 else 2
+    width = 4 if encoder(path).size > 65_536 else 2
 
     def save(batches):
         import pyarrow as pa
