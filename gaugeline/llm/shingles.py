@@ -33,9 +33,9 @@ def _power(which: str, base: int, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts laid end to end: each word's hash, and the text it is in."""
-    raw = _LOWER[raw]
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: each word's hash, and where it starts and ends."""
+    raw = _LOWER[raw] if lower else raw
     solid = ~_BLANK[raw]
     n = len(raw)
     edge = np.zeros(n + 1, dtype=bool)
@@ -47,18 +47,25 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     total = np.concatenate([np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power("up", _BASE, n))])
     value = (total[ends] - total[starts]) * _power("down", _BACK, n)[starts]
     value = mixed(value + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-    return value, np.searchsorted(offsets, starts, side="right") - 1
+    return value, starts, ends
 
 
-def shingle_sets(texts, width: int = 5):
-    """Each text's sorted distinct shingle hashes; ``texts`` is an Arrow string array without nulls."""
+def laid_out(texts) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow string array's bytes, and where each text begins and ends in them."""
     import pyarrow as pa
 
     texts = texts.cast(pa.large_string())
     _, where, data = texts.buffers()
     offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
-    words, doc = word_hashes(raw, offsets - offsets[0])
+    return raw, offsets - offsets[0]
+
+
+def shingle_sets(texts, width: int = 5):
+    """Each text's sorted distinct shingle hashes; ``texts`` is an Arrow string array without nulls."""
+    raw, offsets = laid_out(texts)
+    words, starts, _ = word_hashes(raw, offsets)
+    doc = np.searchsorted(offsets, starts, side="right") - 1
     counts = np.bincount(doc, minlength=len(texts))
     ends = np.cumsum(counts)
     factors = [U(f) for f in mixed(np.arange(1, width + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)]
