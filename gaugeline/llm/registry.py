@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import chat, line_templates, mixing, near_duplicates, packing, token_files, warc
+from . import chat, line_templates, mixing, near_duplicates, packing, quality_rules, token_files, warc
 
 QUERIES = {
     "op2_near_duplicates": near_duplicates.query,
     "op3_warc": warc.query,
+    "op4_quality_rules": quality_rules.query,
     "op5_mixing": mixing.query,
     "op6_token_files": token_files.query,
     "op8_line_templates": line_templates.query,
