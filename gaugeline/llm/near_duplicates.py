@@ -32,7 +32,7 @@ from . import setsketch as sk
 from .common import lookup, materialize, partitions, table
 from .shingles import shingle_sets, slices
 
-PERCENT, BLOCK = 85, 1000
+PERCENT, BLOCK = 85, 500
 #: Nodes of classes in which no doc_id is known are numbered from here.
 UNKNOWN = 1 << 62
 
@@ -84,10 +84,9 @@ def banded(nodes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, sk.M)
                 node = np.repeat(batch.column("node").to_numpy(), sk.BANDS)
-                band = np.tile(np.arange(sk.BANDS, dtype=np.int32), len(sketch))
-                yield pa.RecordBatch.from_arrays([pa.array(sk.bands(sketch).ravel()), pa.array(band), pa.array(node)], names=["bucket", "band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(sk.bands(sketch).ravel()), pa.array(node)], names=["bucket", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, band int, node long")
+    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node long")
 
 
 def likely(pairs: DataFrame, known: DataFrame, bound: float) -> DataFrame:
@@ -151,17 +150,17 @@ def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int
     of them are a group: groups hold at most twice ``block`` members, however large the bucket.
     """
 
-    def compare(rows):
+    def compare(band, rows):
         node, comp, n, part = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, sk.M)
-        band, one = rows[0][5], len({r[3] for r in rows}) == 1
+        one = len({r[3] for r in rows}) == 1
         if (comp == comp[0]).all():
             return
         for i in range(len(rows) - 1):
             j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
-            if not one:
-                j = j[part[j] != part[i]] if rows[i][6] else j
+            if not one:  # pairs within a block are another group's
+                j = j[part[j] != part[i]]
             if not len(j):
                 continue
             j = j[sk.at_least(sketch[i], sketch[j], n[i], n[j], bound)]
@@ -177,23 +176,23 @@ def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int
         now, rows = None, []
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch", "band")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch")]
             for bucket, x, y, *row in zip(*columns):
                 if (bucket, x, y) != now:
                     if rows:
-                        found += compare(rows)
+                        found += compare(now[0] & sk.LOW, rows)
                     now, rows = (bucket, x, y), []
-                rows.append((*row, x != y))
+                rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        found = list(compare(rows)) if rows else []
+        found = list(compare(now[0] & sk.LOW, rows)) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     rows = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(parts == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
     rows = rows.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    rows = rows.select("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch", "band")
+    rows = rows.select("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch")
     rows = rows.repartition(partitions(members), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -225,9 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, blo
     copies = materialize(every.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("class")).filter("n > 1").drop("n"))
     classed = materialize(lookup(every, copies, ["key"]).withColumn("class", F.coalesce("class", "node")))
     heads = classed.filter("sketch IS NOT NULL AND node = class").select("node", "n_shingles", "sketch")
-    placed = materialize(banded(heads))
-    full = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = placed.join(full, "bucket")
+    # most buckets hold one member and end here: one shuffle, and only the others are written
+    inside = W.partitionBy("bucket")
+    members = materialize(banded(heads).withColumn("size", F.count(F.lit(1)).over(inside)).filter("size > 1"))
     meets = W.partitionBy("node")  # as many rows as there are bands
     members = materialize(members.withColumn("meets", F.sum("size").over(meets)))
     known = materialize(heads.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -239,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, blo
     # buckets whose members aren't all one component yet
     named = materialize(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = materialize(named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket"))
-    rest = materialize(named.join(open_, "bucket").select("bucket", "band", "size", "node", "comp"))
+    rest = materialize(named.join(open_, "bucket").select("bucket", "size", "node", "comp"))
     more = materialize(across(rest.join(known, "node"), bound, percent, block))
     more = materialize(verified(more, materialize(sets_of(docs, _nodes(more), width)), percent))
     labels = components(materialize(links.union(more)))
@@ -250,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, blo
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

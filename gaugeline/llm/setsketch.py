@@ -19,6 +19,8 @@ from .shingles import U, mixed
 BANDS, ROWS = 36, 7
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
+#: The bits of a band value that tell the band.
+LOW = 63
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -50,10 +52,10 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bands(sketch: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each band of each sketch."""
+    """A value for each band of each sketch: 58 bits of a hash, then the band."""
     x = sketch.astype(U).reshape(len(sketch), BANDS, ROWS)
     factors = mixed(np.arange(1, ROWS + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
-    return mixed((x * factors).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U) * U(0xE7037ED1A0B428DB)).view(np.int64)
+    return (mixed((x * factors).sum(axis=2, dtype=U)) & ~U(LOW) | np.arange(BANDS, dtype=U)).view(np.int64)
 
 
 def at_least(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
