@@ -179,5 +179,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``."""
-    out = judged(docs, labels).filter("kept")
+    # the row's place keeps the filter above the counts: pushed down, it would inline them into lambdas
+    out = judged(docs, labels).withColumn("place", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("place") >= 0))
     return out.select(*["doc_id" if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])

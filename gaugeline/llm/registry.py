@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import audio, chat, line_templates, mixing, near_duplicates, packing, quality_rules, token_files, warc
+from . import audio, chat, line_templates, mixing, near_duplicates, packing, personal_data, quality_rules, token_files, warc
 
 QUERIES = {
     "op2_near_duplicates": near_duplicates.query,
+    "op1_personal_data": personal_data.query,
     "op3_warc": warc.query,
     "op4_quality_rules": quality_rules.query,
     "op5_mixing": mixing.query,
