@@ -39,7 +39,7 @@ MAGIC, END = b"GLTOKEN1", 2
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 TAIL = struct.Struct("<QQQQ8s")
 #: Documents of a shard, about; the most shards.
-SHARD, MOST = 20_000, 20_000
+SHARD, MOST = 4_000, 100_000
 
 
 def train(docs: DataFrame, rows: int, sample: int = 1500, longest: int = 20_000, least: int = 50, size: int = 65_536, path: str | None = None) -> bytes:

@@ -17,8 +17,8 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Chunks, and as many pieces, a worker remembers before it starts anew (some 220 bytes each).
-REMEMBERED = 800_000
+#: Chunks, and half as many pieces, a worker remembers before it starts anew (some 220 bytes each).
+REMEMBERED = 500_000
 
 #: The pieces that byte-level vocabularies of this kind are trained on.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,10 +90,9 @@ class Encoder:
         later[next(names)] = b"".join(part)
 
     def forget(self) -> None:
-        if len(self.later) > self.remembered or len(self.pieces) > self.remembered or len(self.first) > self.remembered:
-            self.later.clear()
-            self.pieces.clear()
-            self.first.clear()
+        for memory, most in ((self.later, self.remembered), (self.pieces, self.remembered // 2), (self.first, self.remembered // 4)):
+            if len(memory) > most:
+                memory.clear()
 
     def head(self, head: str) -> bytes:
         if head not in self.first:
