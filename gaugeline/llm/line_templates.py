@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lookup, materialize, table, text_of
@@ -102,16 +103,15 @@ def merged(rows, similar: float = SIMILAR):
 def recurring(lines: DataFrame, documents: int = DOCUMENTS, short: int = SHORT, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """signature, first_doc of the lines of recurring templates."""
     firsts = lines.filter("first")
-    counts = [F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")]
-    seen = materialize(firsts.groupBy("signature", "leaf", "deep", "tokens").agg(*counts))
-    brief = seen.filter(F.col("tokens") <= short)
+    # a line's tokens follow from its signature
+    seen = materialize(firsts.groupBy("signature", "leaf", "deep", "tokens", "values").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
     # leaves in which there is something to merge
-    leaves = materialize(brief.groupBy("leaf").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
-    deeper = materialize(brief.join(leaves.filter(F.col("crowd") > crowd), "leaf").groupBy("leaf", "deep").agg(F.count(F.lit(1)).alias("deep_crowd")))
-    several = materialize(lookup(lookup(brief, leaves, ["leaf"], "inner"), deeper, ["leaf", "deep"]))
-    tokens = firsts.filter(F.col("tokens") <= short).select("signature", "values").join(several.select("signature").distinct(), "signature", "left_semi").dropDuplicates(["signature"])
+    crowded = seen.filter(F.col("tokens") <= short).withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1")
+    several = materialize(crowded.withColumn("deep", F.when(F.col("crowd") > crowd, F.col("deep")).otherwise(F.lit(0).cast("long"))))
+    deeper = several.filter(F.col("crowd") > crowd).groupBy("leaf", "deep").agg(F.count(F.lit(1)).alias("deep_crowd"))
+    several = lookup(several, materialize(deeper), ["leaf", "deep"])
     part = F.when(F.col("crowd") <= crowd, F.lit(0)).otherwise(F.pmod(F.xxhash64("signature"), F.ceil(F.col("deep_crowd") / crowd)))
-    several = several.join(tokens, "signature").select(F.col("leaf"), F.when(F.col("crowd") > crowd, F.col("deep")).otherwise(0).alias("deep"), part.alias("part"), "signature", "documents", "first_doc", "values")
+    several = several.select("leaf", "deep", part.alias("part"), "signature", "documents", "first_doc", "values")
 
     def merge(key, frame):
         import pandas as pd
@@ -119,10 +119,15 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS, short: int = SHORT,
         rows = list(zip(frame["signature"].tolist(), frame["documents"].tolist(), frame["first_doc"].tolist(), frame["values"].tolist()))
         return pd.DataFrame(list(merged(rows, similar)), columns=["signature", "template"])
 
-    named = materialize(several.groupBy("leaf", "deep", "part").applyInPandas(merge, "signature long, template long").filter("signature <> template"))
-    every = materialize(lookup(seen, named, ["signature"]).select("signature", F.coalesce("template", "signature").alias("template"), "documents", "first_doc"))
-    many = materialize(every.groupBy("template").agg(F.sum("documents").alias("documents"), F.min("first_doc").alias("first_doc")).filter((F.col("documents") >= documents) & F.col("first_doc").isNotNull()).select("template", "first_doc"))
-    return materialize(lookup(every.select("signature", "template"), many, ["template"], "inner").select("signature", "first_doc"))
+    named = several.groupBy("leaf", "deep", "part").applyInPandas(merge, "signature long, template long")
+    # templates of more than one line; all others keep the counts they have
+    grouped = materialize(named.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("template"))).filter("n > 1").select("signature", "template"))
+    marked = lookup(seen.select("signature", "documents", "first_doc"), grouped, ["signature"])
+    alone = marked.filter("template IS NULL").filter(F.col("documents") >= documents).select("signature", "first_doc")
+    shared = materialize(marked.filter("template IS NOT NULL"))
+    many = shared.groupBy("template").agg(F.sum("documents").alias("documents"), F.min("first_doc").alias("first")).filter(F.col("documents") >= documents)
+    both = alone.union(lookup(shared.drop("documents"), materialize(many.drop("documents")), ["template"], "inner").select("signature", F.col("first").alias("first_doc")))
+    return materialize(both.filter("first_doc IS NOT NULL"))
 
 
 def without(text: Column, dropped: Column) -> Column:
@@ -152,7 +157,8 @@ def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CRO
     gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")))
     rest = [c for c in docs.columns if c != "doc_id"]
     carried = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    out = carried.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").cast("long") == F.col("gone_id"), "left")
+    # a shuffled join at every size: what is dropped grows with the texts
+    out = carried.join(gone.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left")
     n_lines = F.size(F.filter(F.split(text_of("row.text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return out.select("doc_id", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), n_lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
