@@ -1,4 +1,6 @@
 """The named queries of the engine, each with its DuckDB equivalent."""
 
-QUERIES = {}
-SQL = {}
+from . import profile_queries, series_queries
+
+QUERIES = {**series_queries.QUERIES, **profile_queries.QUERIES}
+SQL = {**series_queries.SQL, **profile_queries.SQL}
