@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, table
-from .tokens import encoder
+from .tokens import encoder, encoding
 
 #: Reserved ids follow the vocabulary: what opens a turn, what ends its role, what closes it.
 OPEN, MIDDLE, CLOSE = 0, 1, 2
@@ -56,13 +56,13 @@ def assemble(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), path:
     def encode(batches):
         import pyarrow as pa
 
-        enc = encoder(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                roles = enc.encode([escape(r or "", ">") for r in part.column("role").to_pylist()])
-                texts = enc.encode([escape(t or "") for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role", "text_hash")), pa.array(roles, pa.binary()), pa.array(texts, pa.binary())], names=["conv_id", "turn", "role", "text_hash", "role_ids", "text_ids"])
+        with encoding(path) as enc:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1000):
+                    part = batch.slice(i, 1000)
+                    roles = enc.encode([escape(r or "", ">") for r in part.column("role").to_pylist()])
+                    texts = enc.encode([escape(t or "") for t in part.column("text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role", "text_hash")), pa.array(roles, pa.binary()), pa.array(texts, pa.binary())], names=["conv_id", "turn", "role", "text_hash", "role_ids", "text_ids"])
 
     def splice(batches):
         import pyarrow as pa

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .shingles import slices
-from .tokens import encoder
+from .tokens import SLICE, encoding
 
 CAPACITY, END, GROUPS, SMALL, ROUNDS = 1024, 2, 96, 100, 600
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,19 +43,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     def cut(batches):
         import pyarrow as pa
 
-        enc = encoder(path)
-        for batch in batches:
-            for i, j, texts in slices(batch.column("text")):
-                ids, bounds = enc.encode_column(texts, end)
-                rows = [[], [], [], [], []]
-                for doc, a, b in zip(batch.column("doc_id")[i:j].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
-                    at, k = a, 0
-                    while at < b:
-                        size = (b - at) % capacity or capacity
-                        for column, value in zip(rows, (doc, k, at - a, size, zlib.crc32(ids[at : at + size]))):
-                            column.append(value)
-                        at, k = at + size, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        with encoding(path) as enc:
+            for batch in batches:
+                for i, j, texts in slices(batch.column("text"), SLICE):
+                    ids, bounds = enc.encode_column(texts, end)
+                    rows = [[], [], [], [], []]
+                    for doc, a, b in zip(batch.column("doc_id")[i:j].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                        at, k = a, 0
+                        while at < b:
+                            size = (b - at) % capacity or capacity
+                            for column, value in zip(rows, (doc, k, at - a, size, zlib.crc32(ids[at : at + size]))):
+                                column.append(value)
+                            at, k = at + size, k + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, shared_dir, table
 from .shingles import slices
-from .tokens import encoder
+from .tokens import SLICE, encoder, encoding
 
 MAGIC, END = b"GLTOKEN1", 2
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
@@ -66,20 +66,20 @@ def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int =
         import pyarrow as pa
         import zstandard
 
-        enc = encoder(path)
-        wide = enc.size > 65_536
-        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        if known:
-            known.precompute_compress(level)
-        zstd = zstandard.ZstdCompressor(level=level, dict_data=known) if known else zstandard.ZstdCompressor(level=level)
-        for batch in batches:
-            for i, j, texts in slices(batch.column("text")):
-                ids, at = enc.encode_column(texts, end)
-                doc = batch.column("doc_id").slice(i, j - i)
-                shard = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-                ids = ids if wide else ids.astype("<u2")
-                frames = [zstd.compress(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
+        with encoding(path) as enc:
+            wide = enc.size > 65_536
+            known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+            if known:
+                known.precompute_compress(level)
+            zstd = zstandard.ZstdCompressor(level=level, dict_data=known) if known else zstandard.ZstdCompressor(level=level)
+            for batch in batches:
+                for i, j, texts in slices(batch.column("text"), SLICE):
+                    ids, at = enc.encode_column(texts, end)
+                    doc = batch.column("doc_id").slice(i, j - i)
+                    shard = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+                    ids = ids if wide else ids.astype("<u2")
+                    frames = [zstd.compress(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, shard int, ids long, frame binary")
 

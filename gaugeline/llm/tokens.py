@@ -9,6 +9,7 @@ the Unicode version, and texts in which a blank stands beside other white space,
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import struct
@@ -18,7 +19,9 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Chunks, and half as many pieces, a worker remembers before it starts anew (some 220 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Bytes of text encoded at a time; the more, the fewer chunks are looked up.
+SLICE = 1 << 24
 
 #: The pieces that byte-level vocabularies of this kind are trained on.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,12 +162,27 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
+    def release(self) -> None:
+        """Forgets all chunks: an idle worker holds no memory that the next task's kind may need."""
+        self.later, self.pieces, self.first = {}, {}, {}
+
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """The worker's encoder; it lives as long as the Python worker does."""
+    """The worker's encoder; the vocabulary stays as long as the Python worker does."""
     key = path or vocabulary()
     if key not in _encoders:
         _encoders[key] = Encoder(key)
     return _encoders[key]
+
+
+@contextlib.contextmanager
+def encoding(path: str | None = None):
+    """The worker's encoder for a task, at whose end it forgets."""
+    enc = encoder(path)
+    try:
+        yield enc
+    finally:
+        enc.release()
