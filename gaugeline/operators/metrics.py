@@ -41,10 +41,10 @@ def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
 
     Rows are first counted by distinct score, so what is sorted as a whole is a table of scores.
     """
-    g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) == 0).cast("double").alias("n"))
+    g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).cast("double").alias("_p"), F.count_if(F.col(label) == 0).cast("double").alias("_n"))
     down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)})
-    x = g.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2.0)).alias("won"), F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("area"))
+    g = g.withColumns({"_cp": F.sum("_p").over(down), "_cn": F.sum("_n").over(down)})
+    x = g.agg(F.sum("_p").alias("np"), F.sum("_n").alias("nn"), F.sum(F.col("_n") * (F.col("_cp") - F.col("_p") / 2.0)).alias("won"), F.sum(F.col("_p") * F.col("_cp") / (F.col("_cp") + F.col("_cn"))).alias("area"))
     both = (F.col("np") > 0) & (F.col("nn") > 0)
     return x.select(F.when(both, ratio(F.col("won"), F.col("np") * F.col("nn"))).alias("roc_auc"), F.when(both, ratio(F.col("area"), F.col("np"))).alias("average_precision"))
 

@@ -1,6 +1,7 @@
 """The named queries of the engine, each with its DuckDB equivalent."""
 
-from . import profile_queries, series_queries
+from . import grid_queries, metric_queries, profile_queries, series_queries
 
-QUERIES = {**series_queries.QUERIES, **profile_queries.QUERIES}
-SQL = {**series_queries.SQL, **profile_queries.SQL}
+_ALL = (series_queries, profile_queries, grid_queries, metric_queries)
+QUERIES = {name: q for part in _ALL for name, q in part.QUERIES.items()}
+SQL = {name: sql for part in _ALL for name, sql in part.SQL.items()}
