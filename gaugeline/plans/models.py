@@ -38,7 +38,10 @@ class Boosted:
         return x.withColumns({f"_n_{c}": F.col(c).isNull().cast("double") for c in self.features})
 
     def fit(self, df: DataFrame) -> "Boosted":
-        x = self._ready(df.filter(F.col(self.target).isNotNull())).withColumn(self.target, F.col(self.target).cast("double"))
+        df = df.filter(F.col(self.target).isNotNull())
+        known = df.agg(*[F.count(c).alias(c) for c in self.features]).first()
+        self.features = [c for c in self.features if known[c]]  # a column without a value says nothing
+        x = self._ready(df).withColumn(self.target, F.col(self.target).cast("double"))
         ins = [f"_d_{c}" for c in self.features]
         stages = [Imputer(strategy="median", inputCols=ins, outputCols=[f"_f_{c}" for c in self.features]), VectorAssembler(inputCols=[f"_f_{c}" for c in self.features] + [f"_n_{c}" for c in self.features], outputCol="_x")]
         kind = GBTRegressor if self.task == "regression" else GBTClassifier
