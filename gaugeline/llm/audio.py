@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 RATE, TARGET = 16_000, 8_000
 FRAME, HOP, MELS, WINDOW = 256, 128, 40, 32
@@ -168,7 +168,7 @@ def to_wav(docs: DataFrame, unit: int = UNIT, rate: int = RATE) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids[a : i + 1], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
                     sizes, media, held, a = [], [], 0, i + 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEDIA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, MEDIA)
 
 
 def features(media: DataFrame, target: int = TARGET) -> DataFrame:
@@ -195,7 +195,7 @@ def features(media: DataFrame, target: int = TARGET) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, FEATURES)
 
 
 def read_tensors(stream: bytes):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import map_arrow, partitions, table
 from .tokens import encoder, encoding
 
 #: Reserved ids follow the vocabulary: what opens a turn, what ends its role, what closes it.
@@ -87,9 +87,9 @@ def assemble(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), path:
 
     slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     # ties are ordered by the text; its hash goes along in place of it
-    encoded = slim.withColumn("text_hash", F.sha2("text", 256)).mapInArrow(encode, "conv_id long, turn long, role string, text_hash string, role_ids binary, text_ids binary")
+    encoded = map_arrow(slim.withColumn("text_hash", F.sha2("text", 256)), encode, "conv_id long, turn long, role string, text_hash string, role_ids binary, text_ids binary")
     ordered = encoded.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_hash")
-    return ordered.mapInArrow(splice, TURNS)
+    return map_arrow(ordered, splice, TURNS)
 
 
 def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
@@ -134,7 +134,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
             ended()
         yield flush()
 
-    return formatted.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def render(ids, path: str | None = None) -> str:

@@ -75,6 +75,31 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def release_memory() -> None:
+    """Gives freed memory back: Python workers outlive their tasks, beside stages that need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, after each task of which the worker gives its memory back."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

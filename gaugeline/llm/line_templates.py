@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, table, text_of
+from .common import lookup, map_arrow, materialize, table, text_of
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
 DEPTH, DEEP, SHORT, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 12, 32, 3, 3, 0.8, 2000
@@ -75,7 +75,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH, deep: int = DEEP, short: int = S
                 columns = [ids.slice(a, b - a).take(pa.array(doc)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), leading(values, starts, counts, deep).view(np.int64), signature.view(np.int64), first]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:1]), *(pa.array(c) for c in columns[1:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LINES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, LINES)
 
 
 def merged(rows, similar: float = SIMILAR):

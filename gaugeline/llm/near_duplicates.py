@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setsketch as sk
-from .common import lookup, materialize, partitions, table
+from .common import lookup, map_arrow, materialize, partitions, table
 from .shingles import shingle_sets, slices
 
 PERCENT, BLOCK = 85, 500
@@ -73,7 +73,7 @@ def sketched(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFra
                 nodes = [_node(d, k or b"none") for d, k in zip(ids[a:b], keys)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "node", "n_shingles", "key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long, key binary, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, n_shingles long, key binary, sketch binary")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def banded(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(batch.column("node").to_numpy(), sk.BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(sk.bands(sketch).ravel()), pa.array(node)], names=["bucket", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node long")
+    return map_arrow(nodes.select("node", "sketch"), run, "bucket long, node long")
 
 
 def likely(pairs: DataFrame, known: DataFrame, bound: float) -> DataFrame:
@@ -103,7 +103,7 @@ def likely(pairs: DataFrame, known: DataFrame, bound: float) -> DataFrame:
 
     for side in "ab":
         pairs = pairs.join(known.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_arrow(pairs, run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
@@ -121,7 +121,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
     wanted = nodes.select(F.when(F.col("node") < UNKNOWN, F.col("node")).otherwise(-1).alias("wanted")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(wanted, F.coalesce("doc_id", F.lit(-1)) == F.col("wanted"), "left_semi")
-    return rows.mapInArrow(run, "node long, set binary")
+    return map_arrow(rows, run, "node long, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_arrow(pairs, run, "a long, b long")
 
 
 def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -194,7 +194,7 @@ def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int
     rows = rows.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
     rows = rows.select("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch")
     rows = rows.repartition(partitions(members), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

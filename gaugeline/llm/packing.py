@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_arrow, materialize, table
 from .shingles import slices
 from .tokens import SLICE, encoding
 
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
                             at, k = at + size, k + 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return map_arrow(docs.select("doc_id", "text"), cut, PIECE)
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, groups: int
             columns = [*batch.columns[:5], pa.array(p[:, 4] + nth // p[:, 3]), pa.array(p[:, 5] + nth % p[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECE + ", sequence_id long, offset long")
+    return map_arrow(ranked, place, PIECE + ", sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

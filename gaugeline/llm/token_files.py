@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, shared_dir, table
+from .common import filesystem, map_arrow, materialize, shared_dir, table
 from .shingles import slices
 from .tokens import SLICE, encoder, encoding
 
@@ -81,7 +81,7 @@ def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int =
                     frames = [zstd.compress(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
                     yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, shard int, ids long, frame binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), encode, "doc_id long, shard int, ids long, frame binary")
 
 
 class ShardWriter:
@@ -169,7 +169,7 @@ def write(docs: DataFrame, folder: str, end: int = END, path: str | None = None)
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "documents", "ids"])
 
     spread = compressed(docs, dictionary, bounds, end, path).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids", "frame")
-    made = materialize(spread.mapInArrow(save, "shard int, path string, documents long, ids long"))
+    made = materialize(map_arrow(spread, save, "shard int, path string, documents long, ids long"))
     run = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per file
     return made.withColumn("start", F.coalesce(F.sum("ids").over(run), F.lit(0))), dictionary
 
@@ -193,7 +193,7 @@ def read(shards: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc, pa.array(starts[a:b]), pa.array(counts[a:b]), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.select("path", "start").repartition(n).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards.select("path", "start").repartition(n), load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

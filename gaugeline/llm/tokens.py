@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Chunks, and half as many pieces, a worker remembers before it starts anew (some 220 bytes each).
 REMEMBERED = 400_000
 #: Bytes of text encoded at a time; the more, the fewer chunks are looked up.
-SLICE = 1 << 24
+SLICE = 1 << 23
 
 #: The pieces that byte-level vocabularies of this kind are trained on.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
