@@ -67,9 +67,12 @@ class Encoder:
     def learn(self, chunks) -> None:
         """Ids of chunks that follow a blank.  None marks those that can't be encoded apart."""
         later, known, piece = self.later, self.pieces, self.piece
-        plain = []
+        plain, tokenize, pack = [], self.model.tokenize, struct.pack
         for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace():
+            if self.byte_level and c.isalpha() and (c.isascii() or not _ODD.search(c)):  # a single piece
+                ids = [t.id for t in tokenize("Ġ" + c if c.isascii() else f" {c}".encode().decode("latin-1").translate(_SHOWN))]
+                later[c] = pack(f"<{len(ids)}I", *ids)
+            elif not c or c[0].isspace() or c[-1].isspace():
                 later[c] = None
             elif not self.byte_level or not c.isascii() and _ODD.search(c) or "\x1b" < c[0] < " ":
                 later[c] = self.direct(" " + c)
@@ -89,7 +92,7 @@ class Encoder:
             if p[0] == " " and part:
                 later[next(names)] = b"".join(part)
                 part = []
-            part.append(known.get(p) or piece(p))
+            part.append(known.get(p) or p[0] == " " and later.get(p[1:]) or piece(p))
         later[next(names)] = b"".join(part)
 
     def forget(self) -> None:
