@@ -198,3 +198,27 @@ def centred(array: Column) -> Column:
     ordered = F.array_sort(array)
     median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2.0
     return F.transform(array, lambda v: v - median)
+
+
+def across_series(df: DataFrame, s: Series, c: str, w: int, statistics=("mean",)) -> DataFrame:
+    """Rolling statistics of lagged values that run on from one series into the next.
+
+    For results that were made with ungrouped windows over grouped lags; everything else here keeps
+    series apart.  Rows get their place in the order of all series from counts per series.  A series is
+    given the ``w`` rows before it, whichever series they are of, by a join on blocks of ``w`` places, and is then
+    a partition like any other.
+    """
+    keys = list(s.keys)
+    x = df.withColumns({"_lag": F.lag(c, 1).over(s.window), "_row": s.row()})
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    place = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)  # a row per series
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(place), F.lit(0))).drop("_n")
+    x = x.join(starts, keys).withColumn("_at", F.col("_start") + F.col("_row"))
+    block = lambda at: F.floor(at / w).cast("long")
+    need = starts.select(F.struct(*keys).alias("_series"), F.col("_start").alias("_first")).withColumn("_b", F.explode(F.array_distinct(F.array(block(F.col("_first") - w + 1), block(F.col("_first"))))))
+    halo = x.select(F.col("_at"), F.col("_lag"), block(F.col("_at")).alias("_b")).join(need, "_b").filter((F.col("_at") <= F.col("_first")) & (F.col("_at") > F.col("_first") - w)).select("_series", "_at", "_lag")
+    own = x.select(F.struct(*keys).alias("_series"), "_at", "_lag", F.struct(*df.columns).alias("_all"))
+    both = own.unionByName(halo, allowMissingColumns=True)
+    frame = W.partitionBy("_series").orderBy("_at").rowsBetween(1 - w, 0)
+    out = both.withColumns({f"{c}_roll_{n}_{w}": statistic(F.col("_lag"), frame, n) for n in statistics})
+    return out.filter("_all IS NOT NULL").select("_all.*", *[f"{c}_roll_{n}_{w}" for n in statistics])
