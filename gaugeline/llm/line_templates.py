@@ -50,7 +50,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH, deep: int = DEEP, short: int = S
 
         for batch in batches:
             ids = batch.column("doc_id")
-            for a, b, texts in slices(batch.column("text")):
+            for a, b, texts in slices(batch.column("text"), 1 << 21):
                 raw, offsets = laid_out(texts)
                 values, begins, ends = word_hashes(raw, offsets, lower=False)
                 digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
