@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +16,20 @@ def session(app: str = "gaugeline", **config: str) -> SparkSession:
     for key, value in (settings | config).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="gaugeline-")) / "gaugeline_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, path.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
