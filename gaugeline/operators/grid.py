@@ -49,13 +49,13 @@ def lead_targets(s: Series, c: str, leads=LEADS, step: int = STEP) -> dict[str,
     return {f"target_{h}h": F.lead(c, h * 60 // step).over(s.window) for h in leads}
 
 
-def eligible(df: DataFrame, s: Series, c: str, leads=LEADS, before: int = 288, step: int = STEP) -> DataFrame:
-    """Grid rows with a full context before them and every target known."""
-    x = df.withColumns({"_n": s.row(), **lead_targets(s, c, leads, step)})
-    whole = F.col("_n") > before
+def eligible(df: DataFrame, s: Series, c: str, leads=LEADS, before: int = 288, step: int = STEP, threshold: float = 1.5) -> DataFrame:
+    """Grid rows with a full context whose latest value reaches the threshold, and every target known."""
+    x = df.withColumns({"_n": s.row(), "_latest": F.last(c, True).over(s.until(before + 1)), **lead_targets(s, c, leads, step)})
+    whole = (F.col("_n") > before) & (F.col("_latest") >= threshold)
     for h in leads:
         whole = whole & F.col(f"target_{h}h").isNotNull()
-    return x.filter(whole).drop("_n")
+    return x.filter(whole).drop("_n", "_latest")
 
 
 def separated(df: DataFrame, keys: list[str], at: str, least: int) -> DataFrame:
@@ -79,7 +79,7 @@ def strided(df: DataFrame, s: Series, stride: int) -> DataFrame:
     return df.withColumn("_n", s.row()).filter((F.col("_n") - 1) % stride == 0).drop("_n")
 
 
-def purged(train: DataFrame, valid: DataFrame, key: str = "station", at: str = "minute", before: int = 2880, after: int = 1440, buffer: int = 0) -> DataFrame:
+def purged(train: DataFrame, valid: DataFrame, key: str = "station", at: str = "minute", before: int = 2880, after: int = 1440, buffer: int = 360) -> DataFrame:
     """Training rows whose closed interval meets none of validation, widened after by ``buffer``.
 
     Intervals meet only in the same or neighbouring buckets of the widest reach, so the join is an
@@ -175,3 +175,8 @@ def case_leads(cases: DataFrame, leads=LEADS) -> DataFrame:
 
 def persistence(latest_value: Column, default: float = 1.5) -> Column:
     return F.coalesce(latest_value, F.lit(default))
+
+
+def case_id(station: Column, at: Column) -> Column:
+    """H_STATION_yyyyMMddHHmm, with underscores for hyphens; ``at`` is in minutes."""
+    return F.concat(F.lit("H_"), F.replace(station.cast("string"), F.lit("-"), F.lit("_")), F.lit("_"), F.date_format(F.timestamp_seconds(at * 60), "yyyyMMddHHmm"))

@@ -93,7 +93,7 @@ def coverage_weights(cases: DataFrame, keys: list[str], c: str, weight: float =
     return g.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("_m")).drop("_m", "_share")
 
 
-def forward_split(cases: DataFrame, cut: int, end: int, key: str = "station", at: str = "minute", sparse: int = 4680, stride: int = 2, before: int = 2880, after: int = 1440, buffer: int = 0) -> DataFrame:
+def forward_split(cases: DataFrame, cut: int, end: int, key: str = "station", at: str = "minute", sparse: int = 4680, stride: int = 2, before: int = 2880, after: int = 1440, buffer: int = 360) -> DataFrame:
     """Sparse validation cases of [cut, end) and dense training cases before, purged of overlaps."""
     valid = separated(cases.filter(F.col(at).between(cut, end - 1)), [key], at, sparse)
     train = strided(cases.filter(F.col(at) < cut), Series((key,), (at,)), stride)

@@ -43,12 +43,12 @@ def lead_targets(spark: SparkSession, d: str) -> DataFrame:
     return gridded(spark, d).select("station", "minute", *[c.alias(n) for n, c in gr.lead_targets(BY_STATION, "hs", LEADS, 60).items()])
 
 
-ELIGIBLE_SQL = "x AS (SELECT *, row_number() OVER w AS n, " + ", ".join(f"lead(hs, {h}) OVER w AS target_{h}h" for h in LEADS) + """ FROM g WINDOW w AS (PARTITION BY station ORDER BY minute)),
-el AS (SELECT * FROM x WHERE n > 48 AND target_3h IS NOT NULL AND target_6h IS NOT NULL AND target_12h IS NOT NULL)"""
+ELIGIBLE_SQL = "x AS (SELECT *, row_number() OVER w AS n, last_value(hs IGNORE NULLS) OVER (PARTITION BY station ORDER BY minute ROWS BETWEEN 48 PRECEDING AND CURRENT ROW) AS latest, " + ", ".join(f"lead(hs, {h}) OVER w AS target_{h}h" for h in LEADS) + """ FROM g WINDOW w AS (PARTITION BY station ORDER BY minute)),
+el AS (SELECT * FROM x WHERE n > 48 AND latest >= 5 AND target_3h IS NOT NULL AND target_6h IS NOT NULL AND target_12h IS NOT NULL)"""
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    return gr.eligible(gridded(spark, d), BY_STATION, "hs", LEADS, 48, 60)
+    return gr.eligible(gridded(spark, d), BY_STATION, "hs", LEADS, 48, 60, 5.0)
 
 
 @query("eligible_cases", f"WITH {GRID_SQL}, {ELIGIBLE_SQL} SELECT station, minute, target_3h, target_6h, target_12h FROM el")
@@ -82,7 +82,7 @@ CONTEXT_SQL = f"{GRID_SQL}, {ELIGIBLE_SQL}, {SEPARATED_SQL}, cx AS (SELECT k.sta
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
     g = gridded(spark, d)
-    a = gr.separated(gr.eligible(g, BY_STATION, "hs", LEADS, 48, 60), ["station"], "minute", 1800).select("station", "minute")
+    a = gr.separated(gr.eligible(g, BY_STATION, "hs", LEADS, 48, 60, 5.0), ["station"], "minute", 1800).select("station", "minute")
     return gr.contexts(a, g)
 
 
@@ -122,9 +122,10 @@ def wind_ratios(spark: SparkSession, d: str) -> DataFrame:
     return x.select("station", "ref_minute", F.round("wind_forcing_ratio", 5).alias("wind_forcing_ratio"), F.round("hs_over_mean_24h", 6).alias("hs_over_mean_24h"), F.round("hs_over_max_48h", 6).alias("hs_over_max_48h"), "high_count_1_5", "high_count_50_0")
 
 
-@query("case_leads", f"WITH {GRID_SQL}, {ELIGIBLE_SQL}, {SEPARATED_SQL} SELECT station, minute, CAST(unnest([3, 6, 9, 12, 18, 24]) AS INTEGER) AS lead_h FROM k")
+@query("case_leads", f"WITH {GRID_SQL}, {ELIGIBLE_SQL}, {SEPARATED_SQL} SELECT station, minute, 'H_' || CAST(station AS VARCHAR) || '_' || strftime(to_timestamp(minute * 60) AT TIME ZONE 'UTC', '%Y%m%d%H%M') AS case_id, CAST(unnest([3, 6, 9, 12, 18, 24]) AS INTEGER) AS lead_h FROM k")
 def case_leads(spark: SparkSession, d: str) -> DataFrame:
-    return gr.case_leads(gr.separated(anchors(spark, d), ["station"], "minute", 1800).select("station", "minute"))
+    x = gr.separated(anchors(spark, d), ["station"], "minute", 1800)
+    return gr.case_leads(x.select("station", "minute", gr.case_id(F.col("station"), F.col("minute")).alias("case_id")))
 
 
 @query("coverage_weights", f"""WITH {CONTEXT_SQL}, s AS (SELECT station, ref_minute, CASE WHEN avg(CASE WHEN wspd IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) > 0.5 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS w FROM cx GROUP BY ALL)
@@ -138,7 +139,7 @@ vo AS (SELECT station, list(minute ORDER BY minute) AS l FROM el, cut WHERE minu
 v AS (SELECT station, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda v: [v])), lambda a, v: CASE WHEN len(a) = 0 OR v[1] - a[-1] >= 1800 THEN list_append(a, v[1]) ELSE a END)) AS minute FROM vo),
 t AS (SELECT station, minute FROM (SELECT station, minute, row_number() OVER (PARTITION BY station ORDER BY minute) AS i FROM el, cut WHERE minute < c) WHERE (i - 1) % 2 = 0)
 SELECT station, minute, 'valid' AS part FROM v UNION ALL
-SELECT t.station, t.minute, 'train' FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.station = t.station AND t.minute - 2880 <= v.minute + 1440 AND t.minute + 1440 >= v.minute - 2880)""")
+SELECT t.station, t.minute, 'train' FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.station = t.station AND t.minute - 2880 <= v.minute + 1440 + 360 AND t.minute + 1440 >= v.minute - 2880)""")
 def forward_split(spark: SparkSession, d: str) -> DataFrame:
     x = anchors(spark, d).select("station", "minute")
     cut = x.agg(F.floor(F.percentile("minute", 0.7)).cast("long")).first()[0]

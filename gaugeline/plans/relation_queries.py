@@ -137,7 +137,7 @@ vo AS (SELECT fold, station, list(minute ORDER BY minute) AS l FROM el, fo WHERE
 v AS (SELECT fold, station, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda v: [v])), lambda a, v: CASE WHEN len(a) = 0 OR v[1] - a[-1] >= 1800 THEN list_append(a, v[1]) ELSE a END)) AS minute FROM vo),
 t AS (SELECT fold, station, minute FROM (SELECT fold, station, minute, row_number() OVER (PARTITION BY fold, station ORDER BY minute) AS i FROM el, fo WHERE minute < a) WHERE (i - 1) % 3 = 0)
 SELECT CAST(fold AS INTEGER) AS fold, station, minute, 'valid' AS part FROM v UNION ALL
-SELECT fold, t.station, t.minute, 'train' FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.fold = t.fold AND v.station = t.station AND t.minute - 2880 <= v.minute + 1440 AND t.minute + 1440 >= v.minute - 2880)""")
+SELECT fold, t.station, t.minute, 'train' FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.fold = t.fold AND v.station = t.station AND t.minute - 2880 <= v.minute + 1440 + 360 AND t.minute + 1440 >= v.minute - 2880)""")
 def rolling_folds(spark: SparkSession, d: str) -> DataFrame:
     x = anchors(spark, d).select("station", "minute")
     c1, c2 = (int(c) for c in x.agg(F.percentile("minute", F.array(F.lit(0.5), F.lit(0.75)))).first()[0])

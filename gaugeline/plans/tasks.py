@@ -187,7 +187,7 @@ class ForecastTask(Task):
         v = self.config.get("validation", {})
         g = self._grid()
         s = Series(("station",), ("minute",))
-        cases = gr.eligible(g, s, "hs", leads).select("station", "minute", *[f"target_{h}h" for h in leads])
+        cases = gr.eligible(g, s, "hs", leads, threshold=self.config.get("hs_threshold", 1.5)).select("station", "minute", *[f"target_{h}h" for h in leads])
         cut = v.get("cut") or cases.agg(F.floor(F.percentile("minute", 0.8)).cast("long")).first()[0]
         split = sp.forward_split(cases, cut, v.get("end", 1 << 40), stride=v.get("dense_stride_steps", 2))
         plugin = WaveFeatures(("station", "minute"))
