@@ -207,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
     while True:
         lower = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        lower = labels.join(materialize(lower).withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
+        lower = labels.join(lower.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         lower = materialize(lower)
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         after = materialize(lower.join(jump, "comp").select("node", "was", F.least("comp", "next").alias("comp")))
@@ -232,13 +232,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, blo
     known = materialize(heads.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     pivots = materialize(members.groupBy("bucket").agg(F.max(F.struct(F.col("meets"), (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("pivot")))
     pairs = members.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    pairs = materialize(likely(materialize(pairs.distinct()), known, bound))
+    pairs = materialize(likely(pairs.distinct(), known, bound))
     links = materialize(verified(pairs, materialize(sets_of(docs, _nodes(pairs), width)), percent))
     labels = components(links)
     # buckets whose members aren't all one component yet
     named = materialize(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = materialize(named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket"))
-    rest = materialize(named.join(open_, "bucket").select("bucket", "size", "node", "comp"))
+    rest = named.join(open_, "bucket").select("bucket", "size", "node", "comp")
     more = materialize(across(rest.join(known, "node"), bound, percent, block))
     more = materialize(verified(more, materialize(sets_of(docs, _nodes(more), width)), percent))
     labels = components(materialize(links.union(more)))
