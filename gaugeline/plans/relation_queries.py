@@ -140,7 +140,8 @@ SELECT CAST(fold AS INTEGER) AS fold, station, minute, 'valid' AS part FROM v UN
 SELECT fold, t.station, t.minute, 'train' FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.fold = t.fold AND v.station = t.station AND t.minute - 2880 <= v.minute + 1440 + 360 AND t.minute + 1440 >= v.minute - 2880)""")
 def rolling_folds(spark: SparkSession, d: str) -> DataFrame:
     x = anchors(spark, d).select("station", "minute")
-    c1, c2 = (int(c) for c in x.agg(F.percentile("minute", F.array(F.lit(0.5), F.lit(0.75)))).first()[0])
+    cuts = x.agg(F.percentile("minute", F.array(F.lit(0.5), F.lit(0.75)))).first()[0]
+    c1, c2 = (int(c) for c in cuts) if cuts else (0, 0)  # without a case there is nothing to cut
     return sp.rolling_folds(x, [(c1, c2), (c2, 1 << 40)], sparse=1800, stride=3)
 
 
