@@ -10,9 +10,11 @@ A template found in at least ``DOCUMENTS`` documents is recurring: its lines are
 documents but the one with the least doc_id, so that the text itself isn't lost.  Lines of fewer than
 ``LEAST`` tokens, and those of which most tokens are variable, are never dropped.
 
-A leaf with more than ``CROWD`` different lines is split by its first ``DEEP`` tokens, and if need be
-by a hash, so a leaf fits a task however common its beginning is.  Counts are summed before they are
-shuffled, and lines meet templates in a join whose hot keys AQE splits.
+Templates don't depend on how a leaf is dealt.  A leaf's lines pass through a task one by one, which
+holds the templates alone, and a line looks at templates with which it has a block of tokens in common.
+A leaf with more than ``CROWD`` different lines is dealt by chains of such blocks, as lines of different
+chains can't share a template.  Counts are summed before they are shuffled, and lines meet templates
+in a join whose hot keys AQE splits.
 
 Null and empty texts have no lines and stay as they are.  Rows that repeat a doc_id are decided alike.
 A null doc_id is never the first; if all are null, nothing of the template is dropped.  An empty table gives an empty result.
@@ -26,16 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lookup, map_arrow, materialize, table, text_of
+from .common import lookup, map_arrow, materialize, partitions, table, text_of
+from .near_duplicates import components
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
-DEPTH, DEEP, SHORT, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 12, 32, 3, 3, 0.8, 2000
+DEPTH, SHORT, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 32, 3, 3, 0.8, 2000
 #: The value of a variable field.
 FIELD = 0x5BD1E995
-LINES = "doc_id long, line int, tokens int, leaf long, deep long, signature long, first boolean, values binary"
+LINES = "doc_id long, line int, tokens int, leaf long, signature long, first boolean, values binary"
 
 
-def parsed(docs: DataFrame, depth: int = DEPTH, deep: int = DEEP, short: int = SHORT, least: int = LEAST) -> DataFrame:
+def parsed(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, least: int = LEAST) -> DataFrame:
     """A row per line that may be dropped; ``values`` are a short line's tokens as 32-bit hashes."""
 
     def leading(values, starts, counts, k):
@@ -72,54 +75,109 @@ def parsed(docs: DataFrame, depth: int = DEPTH, deep: int = DEEP, short: int = S
                 first[at] = True
                 narrow = values.astype("<u4")
                 brief = [narrow[s : s + n].tobytes() if f and n <= short else None for s, n, f in zip(starts.tolist(), counts.tolist(), first.tolist())]
-                columns = [ids.slice(a, b - a).take(pa.array(doc)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), leading(values, starts, counts, deep).view(np.int64), signature.view(np.int64), first]
+                columns = [ids.slice(a, b - a).take(pa.array(doc)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), signature.view(np.int64), first]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:1]), *(pa.array(c) for c in columns[1:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, LINES)
 
 
-def merged(rows, similar: float = SIMILAR):
-    """The lines of a leaf, as (signature, documents, first document, tokens), to templates.
+def blocks(n: int, similar: float = SIMILAR, depth: int = DEPTH) -> list[tuple[int, int]]:
+    """Parts of the tokens after the leaf's, one more than there may be different tokens.
 
-    Lines are taken in order of documents; each joins the template with most equal tokens, if enough
-    are, and makes the others variable.  Gives (signature, template).
+    Lines that agree in enough of ``n`` tokens agree in all of at least one part.
     """
-    rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    tokens = np.array([np.frombuffer(r[3], "<u4") for r in rows])
-    templates, fixed, names = np.zeros_like(tokens), np.zeros(tokens.shape, dtype=bool), []
-    for row, value in zip(rows, tokens):
-        t = len(names)
-        equal = ((templates[:t] == value) & fixed[:t]).sum(axis=1)
-        best = int(equal.argmax()) if t else -1
-        if t and equal[best] >= similar * tokens.shape[1]:
-            fixed[best] &= templates[best] == value
-            yield row[0], names[best]
-        else:
-            templates[t], fixed[t] = value, True
-            names.append(row[0])
-            yield row[0], row[0]
+    parts = n - int(np.ceil(similar * n)) + 1
+    edges = [min(depth, n) + (n - min(depth, n)) * i // parts for i in range(parts + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+class Templates:
+    """The templates of a leaf, to which lines of ``n`` tokens are added in order of documents.
+
+    A line joins the template with most equal tokens, if enough are, and makes the others variable.
+    A template's fixed tokens are its first line's, so the blocks of that line find it.
+    """
+
+    def __init__(self, n: int, similar: float = SIMILAR):
+        self.least, self.blocks, self.names, self.found = similar * n, blocks(n, similar), [], {}
+        self.tokens, self.fixed = np.zeros((4, n), "<u4"), np.zeros((4, n), dtype=bool)
+
+    def add(self, signature: int, values: bytes) -> int:
+        """The signature of the line whose template it is."""
+        value = np.frombuffer(values, "<u4")
+        keys = [(a, values[4 * a : 4 * b]) for a, b in self.blocks]
+        near = sorted({t for k in keys for t in self.found.get(k, ())})
+        if near:
+            equal = ((self.tokens[near] == value) & self.fixed[near]).sum(axis=1)
+            best = int(equal.argmax())
+            if equal[best] >= self.least:
+                self.fixed[near[best]] &= self.tokens[near[best]] == value
+                return self.names[near[best]]
+        t = len(self.names)
+        if t == len(self.tokens):
+            self.tokens, self.fixed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tokens, self.fixed))
+        self.tokens[t], self.fixed[t] = value, True
+        self.names.append(signature)
+        for k in keys:
+            self.found.setdefault(k, []).append(t)
+        return signature
+
+
+def chains(crowded: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """node, comp: lines (by signature) that blocks of equal tokens connect; others can't share a template."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, names = [], []
+            for leaf, signature, values in zip(*(batch.column(c).to_pylist() for c in ("leaf", "signature", "values"))):
+                for a, b in blocks(len(values) // 4, similar):
+                    key = hashlib.blake2b(leaf.to_bytes(8, "little", signed=True) + a.to_bytes(4, "little") + values[4 * a : 4 * b], digest_size=8)
+                    keys.append(int.from_bytes(key.digest(), "little", signed=True))
+                    names.append(signature)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], names=["block", "b"])
+
+    met = materialize(map_arrow(crowded.select("leaf", "signature", "values"), run, "block long, b long"))
+    heads = met.groupBy("block").agg(F.min("b").alias("a"), F.max("b").alias("last")).filter("a <> last").select("block", "a")
+    return components(materialize(met.join(heads, "block").filter("a <> b").select("a", "b").distinct()))
+
+
+def templates(several: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """signature, template of lines (leaf, part, signature, documents, values)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, leaf = None, None
+        for batch in batches:
+            signatures, names = batch.column("signature").to_pylist(), []
+            for key, part, signature, values in zip(batch.column("leaf").to_pylist(), batch.column("part").to_pylist(), signatures, batch.column("values").to_pylist()):
+                if (key, part) != now:
+                    now, leaf = (key, part), Templates(len(values) // 4, similar)
+                names.append(leaf.add(signature, values))
+            yield pa.RecordBatch.from_arrays([pa.array(signatures, pa.int64()), pa.array(names, pa.int64())], names=["signature", "template"])
+
+    rows = several.select("leaf", "part", "signature", "documents", "values").repartition(partitions(several), "leaf", "part")
+    return map_arrow(rows.sortWithinPartitions("leaf", "part", F.desc("documents"), "signature"), run, "signature long, template long")
 
 
 def recurring(lines: DataFrame, documents: int = DOCUMENTS, short: int = SHORT, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """signature, first_doc of the lines of recurring templates."""
     firsts = lines.filter("first")
     # a line's tokens follow from its signature
-    seen = materialize(firsts.groupBy("signature", "leaf", "deep", "tokens", "values").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
+    seen = materialize(firsts.groupBy("signature", "leaf", "tokens", "values").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
     # leaves in which there is something to merge
-    crowded = seen.filter(F.col("tokens") <= short).withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1")
-    several = materialize(crowded.withColumn("deep", F.when(F.col("crowd") > crowd, F.col("deep")).otherwise(F.lit(0).cast("long"))))
-    deeper = several.filter(F.col("crowd") > crowd).groupBy("leaf", "deep").agg(F.count(F.lit(1)).alias("deep_crowd"))
-    several = lookup(several, materialize(deeper), ["leaf", "deep"])
-    part = F.when(F.col("crowd") <= crowd, F.lit(0)).otherwise(F.pmod(F.xxhash64("signature"), F.ceil(F.col("deep_crowd") / crowd)))
-    several = several.select("leaf", "deep", part.alias("part"), "signature", "documents", "first_doc", "values")
-
-    def merge(key, frame):
-        import pandas as pd
-
-        rows = list(zip(frame["signature"].tolist(), frame["documents"].tolist(), frame["first_doc"].tolist(), frame["values"].tolist()))
-        return pd.DataFrame(list(merged(rows, similar)), columns=["signature", "template"])
-
-    named = several.groupBy("leaf", "deep", "part").applyInPandas(merge, "signature long, template long")
+    several = materialize(seen.filter(F.col("tokens") <= short).withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1"))
+    crowded = several.filter(F.col("crowd") > crowd)
+    if crowded.isEmpty():
+        several = several.withColumn("part", F.lit(0).cast("long"))
+    else:
+        linked = chains(crowded, similar).select(F.col("node").alias("signature"), F.col("comp").alias("part"))
+        several = lookup(several, linked, ["signature"]).withColumn("part", F.when(F.col("crowd") > crowd, F.coalesce("part", "signature")).otherwise(F.lit(0)))
+    named = templates(several, similar)
     # templates of more than one line; all others keep the counts they have
     grouped = materialize(named.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("template"))).filter("n > 1").select("signature", "template"))
     marked = lookup(seen.select("signature", "documents", "first_doc"), grouped, ["signature"])

@@ -1,3 +1,4 @@
+import random
 import re
 
 from gaugeline.llm import line_templates as lt
@@ -75,3 +76,15 @@ def test_crowded_leaves_are_split(spark):
     assert whole == {i: int(i > 0) for i in range(16)}
     lines = lt.materialize(lt.parsed(docs))
     assert lt.recurring(lines, crowd=4).count() <= 16
+
+
+def test_templates_do_not_depend_on_how_leaves_are_dealt(spark):
+    r = random.Random(5)
+    rows = [(i, f"alpha beta gamma {w} one two three four five six") for i, w in enumerate("abcdefghijklmnop")]
+    rows += [(100 + i, "alpha beta gamma " + " ".join(r.choice("uvw") for _ in range(7))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = lt.materialize(lt.parsed(docs))
+    whole, dealt = ({(x["signature"], x["first_doc"]) for x in lt.recurring(lines, crowd=crowd).collect()} for crowd in (10**9, 4))
+    assert whole == dealt
+    got = {x["doc_id"]: x["n_dropped"] for x in lt.drop_recurring(docs, crowd=4).collect()}
+    assert [got[i] for i in range(16)] == [0] + [1] * 15
