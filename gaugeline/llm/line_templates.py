@@ -3,8 +3,7 @@
 A line is a record: its words are its tokens, and a token with a digit is a variable field.  The tree
 has a fixed depth: a line goes down by its number of tokens and its first ``DEPTH`` tokens to a leaf.
 In a leaf, lines that agree in at least ``SIMILAR`` of their tokens share a template, whose other
-places are variable fields.  Lines of over ``SHORT`` tokens are templates by themselves once variable
-fields are masked, as prose of that length agrees in its first tokens only if it is copied.
+places are variable fields, whatever their length.
 
 A template found in at least ``DOCUMENTS`` documents is recurring: its lines are dropped in all
 documents but the one with the least doc_id, so that the text itself isn't lost.  Lines of fewer than
@@ -32,14 +31,14 @@ from .common import lookup, map_arrow, materialize, partitions, table, text_of
 from .near_duplicates import components
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
-DEPTH, SHORT, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 32, 3, 3, 0.8, 2000
+DEPTH, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 3, 3, 0.8, 2000
 #: The value of a variable field.
 FIELD = 0x5BD1E995
 LINES = "doc_id long, line int, tokens int, leaf long, signature long, first boolean, values binary"
 
 
-def parsed(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, least: int = LEAST) -> DataFrame:
-    """A row per line that may be dropped; ``values`` are a short line's tokens as 32-bit hashes."""
+def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """A row per line that may be dropped; ``values`` are the tokens of a text's different lines as 32-bit hashes."""
 
     def leading(values, starts, counts, k):
         out = counts.astype(U) * U(0xA0761D6478BD642F)
@@ -74,7 +73,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, least: int =
                 first = np.zeros(len(keep), dtype=bool)
                 first[at] = True
                 narrow = values.astype("<u4")
-                brief = [narrow[s : s + n].tobytes() if f and n <= short else None for s, n, f in zip(starts.tolist(), counts.tolist(), first.tolist())]
+                brief = [narrow[s : s + n].tobytes() if f else None for s, n, f in zip(starts.tolist(), counts.tolist(), first.tolist())]
                 columns = [ids.slice(a, b - a).take(pa.array(doc)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), signature.view(np.int64), first]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:1]), *(pa.array(c) for c in columns[1:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
 
@@ -164,13 +163,15 @@ def templates(several: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return map_arrow(rows.sortWithinPartitions("leaf", "part", F.desc("documents"), "signature"), run, "signature long, template long")
 
 
-def recurring(lines: DataFrame, documents: int = DOCUMENTS, short: int = SHORT, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+def recurring(lines: DataFrame, documents: int = DOCUMENTS, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """signature, first_doc of the lines of recurring templates."""
     firsts = lines.filter("first")
-    # a line's tokens follow from its signature
-    seen = materialize(firsts.groupBy("signature", "leaf", "tokens", "values").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
+    seen = materialize(firsts.groupBy("signature", "leaf").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
     # leaves in which there is something to merge
-    several = materialize(seen.filter(F.col("tokens") <= short).withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1"))
+    several = materialize(seen.withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1"))
+    # only their tokens are shuffled; they follow from the signature
+    values = materialize(lookup(firsts.select("signature", "values"), several.select("signature"), ["signature"], "left_semi").dropDuplicates(["signature"]))
+    several = materialize(several.join(values, "signature"))
     crowded = several.filter(F.col("crowd") > crowd)
     if crowded.isEmpty():
         several = several.withColumn("part", F.lit(0).cast("long"))

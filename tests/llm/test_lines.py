@@ -88,3 +88,11 @@ def test_templates_do_not_depend_on_how_leaves_are_dealt(spark):
     assert whole == dealt
     got = {x["doc_id"]: x["n_dropped"] for x in lt.drop_recurring(docs, crowd=4).collect()}
     assert [got[i] for i in range(16)] == [0] + [1] * 15
+
+
+def test_long_lines_share_templates(spark):
+    shared = [f"w{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(45)]
+    rows = [(i, " ".join([*shared[:30], name, *shared[30:]]) + f"\n{name} alone") for i, name in enumerate(["ann", "bob", "cy", "dee"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_dropped"], x["row"]["text"]) for x in lt.drop_recurring(docs).collect()}
+    assert got == {0: (0, rows[0][1]), 1: (1, "bob alone"), 2: (1, "cy alone"), 3: (1, "dee alone")}
