@@ -15,6 +15,8 @@ A leaf with more than ``CROWD`` different lines is dealt by chains of such block
 chains can't share a template.  Counts are summed before they are shuffled, and lines meet templates
 in a join whose hot keys AQE splits.
 
+Then passages that recur inside lines go (``passages``).  A line of which nothing is left counts as dropped.
+
 Null and empty texts have no lines and stay as they are.  Rows that repeat a doc_id are decided alike.
 A null doc_id is never the first; if all are null, nothing of the template is dropped.  An empty table gives an empty result.
 Other columns are carried along.
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import lookup, map_arrow, materialize, partitions, table, text_of
 from .near_duplicates import components
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
@@ -218,8 +221,18 @@ def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CRO
     carried = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     # a shuffled join at every size: what is dropped grows with the texts
     out = carried.join(gone.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left")
-    n_lines = F.size(F.filter(F.split(text_of("row.text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    return out.select("doc_id", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), n_lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = out.select("doc_id", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), _lines("row.text").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = materialize(out)
+    spans = passages.recurring(out.select("doc_id", F.col("row.text").alias("text")), documents)
+    out = lookup(out.withColumn("gone_id", F.col("doc_id").cast("long")), spans.withColumnRenamed("doc_id", "gone_id"), ["gone_id"])
+    out = out.withColumn("left", passages.without(F.col("row.text"), F.col("windows")))
+    emptied = F.when(F.col("windows").isNull(), F.lit(0)).otherwise(_lines("row.text") - _lines("left"))
+    return out.select("doc_id", F.col("row").withField("text", F.col("left")).alias("row"), "n_lines", (F.col("n_dropped") + emptied).alias("n_dropped"))
+
+
+def _lines(text: str) -> Column:
+    """Lines with a word."""
+    return F.size(F.filter(F.split(text_of(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,16 @@ def test_long_lines_share_templates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: (x["n_dropped"], x["row"]["text"]) for x in lt.drop_recurring(docs).collect()}
     assert got == {0: (0, rows[0][1]), 1: (1, "bob alone"), 2: (1, "cy alone"), 3: (1, "dee alone")}
+
+
+def test_passages_inside_lines_go(spark):
+    names = [a + b for a in "abcdefghij" for b in "klmnop"]
+    shared, short = " ".join(names), " ".join(names[:48][::-1])
+    rows = [(i, f"{'pqrs'[i]}x begins {shared} ends {'pqrs'[i]}y\nsecond {'pqrs'[i]} {short} line {'pqrs'[i]}z") for i in range(3)]
+    rows.append((9, "\n".join([f"its own {names[7]}", " ".join(names[:30]), " ".join(["of", *names[30:], "more"])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["row"]["text"] for x in lt.drop_recurring(docs).collect()}
+    want = {i: t.replace(f"{shared} ", "") if i in (1, 2) else t for i, t in rows}
+    assert {i: got[i] for i in (0, 9)} == {i: want[i] for i in (0, 9)}
+    assert [got[i].split("\n")[0] for i in (1, 2)] == ["qx qy", "rx ry"]
+    assert [short in got[i] for i in range(3)] == [True] * 3
