@@ -11,7 +11,7 @@
 
 Similarity is tested as ``100 * both >= percent * either`` on distinct shingles.  Texts with a
 similarity of 0.85 share a bucket with probability 1 - 1e-6.  The likelihood's bound is four standard
-errors below the similarity.
+errors below the similarity: by the normal approximation it drops about 3e-5 of links at exactly 0.85.
 
 Nulls and texts without words have an empty set and link with nothing.  doc_id is the document's
 identity: rows that repeat it with the same text fall together.  A null doc_id takes part; its
