@@ -4,7 +4,8 @@ Byte-level vocabularies cut a text before each single blank between two other ch
 chunks so made can be encoded apart.  A worker keeps the ids of chunks it has met.  A new chunk is
 cut into the vocabulary's pieces, and the tokenizer's model encodes each new piece, which spares the
 alignment of characters that ``encode`` keeps.  Chunks with characters whose class might depend on
-the Unicode version, and texts in which a blank stands beside other white space, go through ``encode``.
+the Unicode version, and texts in which a blank stands beside other white space, go through ``encode``,
+and so do texts that contain the string of an added token, which ``encode`` gives the token's id.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size, self.model, self.cut = self.tokenizer.get_vocab_size(), self.tokenizer.model, regex.compile(PIECES).findall
         self.byte_level = "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.remembered = remembered
@@ -140,6 +141,8 @@ class Encoder:
             raw = [r or b"" for r in raw]
         else:
             wrong = set()
+        for content in self.added:
+            wrong |= set(np.flatnonzero(pc.match_substring(column, content).to_numpy(zero_copy_only=False)).tolist())
         wrong |= {d for d, h in enumerate(heads) if bounds[d + 1] - bounds[d] > 1 and (not h or h[-1].isspace())}
         nth[bounds[:-1]] = np.arange(len(raw), len(raw) + len(heads))
         raw += [self.direct(column[d].as_py()) if d in wrong else self.head(h) for d, h in enumerate(heads)]

@@ -3,17 +3,26 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from gaugeline.llm import packing, token_files
-from gaugeline.llm.tokens import Encoder
+from gaugeline.llm.tokens import Encoder, vocabulary
 
 from .cases import ODD, documents, prose, saved
 
 ENCODER = Encoder(remembered=200)
+#: As the library loads it, without any setting.
+UNTOUCHED = Tokenizer.from_file(vocabulary())
 
 
 def direct(text):
-    return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids
+    return UNTOUCHED.encode(text or "", add_special_tokens=False).ids
+
+
+def test_strings_of_added_tokens_have_their_ids():
+    texts = ["see <|endoftext|> now", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "see <|endof text|> now"]
+    assert [50256 in np.frombuffer(raw, "<u4") for raw in ENCODER.encode(texts)] == [True, True, True, False]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in ENCODER.encode(texts)] == [direct(t) for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
