@@ -35,6 +35,8 @@ from .tokens import SLICE, encoding
 
 CAPACITY, END, GROUPS, SMALL, ROUNDS = 1024, 2, 96, 100, 600
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A piece's number in its task, by which pieces of equal documents part.
+NUMBER = "number long"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
@@ -43,6 +45,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     def cut(batches):
         import pyarrow as pa
 
+        made = 0
         with encoding(path) as enc:
             for batch in batches:
                 for i, j, texts in slices(batch.column("text"), SLICE):
@@ -55,9 +58,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
                             for column, value in zip(rows, (doc, k, at - a, size, zlib.crc32(ids[at : at + size]))):
                                 column.append(value)
                             at, k = at + size, k + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append(range(made, made := made + len(rows[0])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), *[pa.int64()] * 4))], names=["doc_id", "piece", "start", "length", "ids_crc32", "number"])
 
-    return map_arrow(docs.select("doc_id", "text"), cut, PIECE)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, f"{PIECE}, {NUMBER}")
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -208,17 +212,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, groups: int
     """The pieces with sequence_id and offset.
 
     A rank within a length comes from counts by (length, slice of a hash): no length, however common,
-    is ranked in one task, and what the driver gets is a number for each length.
+    and no document, however often repeated, is ranked in one task, and what the driver gets is a
+    number for each length.
     """
     cut = materialize(pieces(docs, capacity, end, path))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places, _ = plan(counts, capacity, groups, small)
     slices = min(4096, max(32, sum(counts.values()) // 20_000))
-    sliced = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    sliced = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(slices)).cast("int"))
     tally = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     run = W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     tally = tally.select("length", "slice", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    order = W.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    order = W.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32", "number")
     ranked = sliced.withColumn("nth", F.row_number().over(order)).join(tally, ["length", "slice"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     arrays = np.array(sorted(places), dtype=np.int64).reshape(-1, 6)
