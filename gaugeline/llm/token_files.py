@@ -16,7 +16,7 @@ characters, picked by a hash of doc_id; it changes sizes only, never contents.
 ``least`` documents in the sample there is none.
 
 Null and empty texts are a single end id.  Null doc_ids come first.  Repeated rows are separate
-documents.  An empty table makes no shards and an empty result.  Other columns are not looked at.
+documents, and rows of one doc_id stand in any order.  An empty table makes no shards and an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ MAGIC, END = b"GLTOKEN1", 2
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 TAIL = struct.Struct("<QQQQ8s")
 #: Documents of a shard, about; the most shards.
-SHARD, MOST = 4_000, 100_000
+SHARD, MOST = 2_000, 100_000
+#: Where null ids stand among the others.
+LOWEST = -(1 << 63)
 
 
 def train(docs: DataFrame, rows: int, sample: int = 1500, longest: int = 20_000, least: int = 50, size: int = 65_536, path: str | None = None) -> bytes:
@@ -59,6 +61,15 @@ def train(docs: DataFrame, rows: int, sample: int = 1500, longest: int = 20_000,
         return b""
 
 
+def shards_of(ids: np.ndarray, bounds: np.ndarray, number: int) -> np.ndarray:
+    """The shard of each document; ``number`` is that of the first in its task.
+
+    An id that ``bounds`` has r times takes r shards in turn, so an id that many rows share isn't one file.
+    """
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return np.where(high > low, low + 1 + (number + np.arange(len(ids))) % np.maximum(high - low, 1), low).astype(np.int32)
+
+
 def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int = END, path: str | None = None, level: int = 3) -> DataFrame:
     """doc_id, shard, ids, frame."""
 
@@ -66,6 +77,7 @@ def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int =
         import pyarrow as pa
         import zstandard
 
+        number, cuts = 0, np.array(bounds, dtype=np.int64)
         with encoding(path) as enc:
             wide = enc.size > 65_536
             known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -76,7 +88,8 @@ def compressed(docs: DataFrame, dictionary: bytes, bounds: list[int], end: int =
                 for i, j, texts in slices(batch.column("text"), SLICE):
                     ids, at = enc.encode_column(texts, end)
                     doc = batch.column("doc_id").slice(i, j - i)
-                    shard = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+                    shard = shards_of(doc.fill_null(LOWEST).to_numpy(zero_copy_only=False), cuts, number)
+                    number += j - i
                     ids = ids if wide else ids.astype("<u2")
                     frames = [zstd.compress(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
                     yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "shard", "ids", "frame"])
@@ -141,12 +154,13 @@ class ShardReader:
 def write(docs: DataFrame, folder: str, end: int = END, path: str | None = None) -> tuple[DataFrame, bytes]:
     """Writes the files; gives (shard, path, documents, ids, start) a shard, and the dictionary.
 
-    Shards are ranges of doc_id cut at approximate quantiles.  Frames, not texts, are shuffled.
+    Shards are ranges of doc_id cut at approximate quantiles, several for an id that many rows share.
+    Frames, not texts, are shuffled, each shard to a task of its own.
     """
     rows = docs.count()
     shards = max(1, min(MOST, max(32, -(-rows // SHARD)), rows))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [0.5], 100_000)).first()[0] or []
-    bounds = sorted(set(cuts))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    bounds = sorted(docs.agg(F.percentile_approx(known, [i / shards for i in range(1, shards)] or [0.5], 100_000)).first()[0] or [])
     dictionary = train(docs, rows, path=path)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     fs, place = filesystem(folder)
@@ -168,7 +182,7 @@ def write(docs: DataFrame, folder: str, end: int = END, path: str | None = None)
         done += [writer.close()] if writer else []
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "documents", "ids"])
 
-    spread = compressed(docs, dictionary, bounds, end, path).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids", "frame")
+    spread = compressed(docs, dictionary, bounds, end, path).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids", "frame")
     made = materialize(map_arrow(spread, save, "shard int, path string, documents long, ids long"))
     run = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per file
     return made.withColumn("start", F.coalesce(F.sum("ids").over(run), F.lit(0))), dictionary

@@ -32,16 +32,29 @@ def test_remembered_chunks_give_the_tokenizers_ids(texts):
         assert np.frombuffer(raw, "<u4").tolist() == direct(text)
 
 
+def in_order(got, rows):
+    """Every document's ids are where they should be; rows of one doc_id may stand in any order."""
+    low = lambda d: (d is not None, d or 0)
+    crc = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    got = sorted(got, key=lambda r: r[1])
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])][: len(got)]
+    assert [low(r[0]) for r in got] == sorted(low(r[0]) for r in got)
+    assert sorted((low(r[0]), *r[2:]) for r in got) == sorted((low(d), *crc(ids)) for d, ids in rows)
+
+
 def test_token_files_read_back(spark, tmp_path):
     docs = documents(spark)
     got = [tuple(r) for r in token_files.query(spark, saved(docs, tmp_path)).collect()]
-    want, at = [], 0
-    rows = sorted(((r["doc_id"], direct(r["text"]) + [2]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1])))
-    for doc, ids in rows:
-        want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
-    assert sorted(got, key=order) == sorted(want, key=order)
+    in_order(got, [(r["doc_id"], direct(r["text"]) + [2]) for r in docs.collect()])
+
+
+def test_rows_that_share_an_id_take_several_shards(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, prose(i, 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"file://{tmp_path}/files"
+    shards, dictionary = token_files.write(docs, folder)
+    assert max(r["documents"] for r in shards.collect()) <= 40
+    in_order([tuple(r) for r in token_files.read(shards, folder, dictionary).collect()], [(d, direct(t) + [2]) for d, t in rows])
 
 
 def test_a_short_document_is_found_in_its_shard(spark, tmp_path):
