@@ -5,7 +5,8 @@ and what it can't take is shared out anew by weight among the others, until none
 Documents are then repeated whole, and a seeded sample of each source once more for the fraction.
 
 Everything is DataFrame operations.  Null texts have size 0; a null source is a source of its own,
-the last in order; repeated rows are separate rows; an empty table gives an empty result; columns
+the last in order; repeated rows are separate rows, and of rows with one doc_id (or none) and one size as
+many go into the fraction as bring it nearest; an empty table gives an empty result; columns
 other than the named ones are carried along by ``mix`` under a struct, so no name can clash.
 """
 
@@ -83,20 +84,46 @@ def mix(docs: DataFrame, weights=None, budget: tuple[int, int] = (3, 2), max_epo
     per = per.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     edge = materialize(per.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("words") >= F.col("extra"))).groupBy(*keys).agg(F.min(F.struct("slice", "before")).alias("e")).select(*keys, F.col("e.slice").alias("edge"), F.col("e.before").alias("before")))
     inside = lookup(sliced, edge, keys, "inner").filter(F.col("slice") == F.col("edge"))
+    # rows of one doc_id and size are one unit, however many they are
+    units = inside.groupBy(*keys, "u", "doc_id", "size", "before", "extra").agg(F.count(F.lit(1)).alias("rows"))
     order = W.partitionBy(*keys).orderBy("u", "doc_id", "size")
-    inside = inside.withColumn("run", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    # a document is within if taking it leaves the total nearer the fraction's words
-    last = materialize(inside.filter(F.col("run") - F.col("size") / 2 <= F.col("extra")).groupBy(*keys).agg(F.max(F.struct("u", "doc_id", "size")).alias("last")))
+    earlier = F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # the n-th row of a unit is within if taking it leaves the total nearer the fraction's words:
+    # at + n * size - size / 2 <= extra, in whole numbers
+    room = F.floor(F.col("extra") * 2).cast("long") - F.lit(2) * (F.col("before") + earlier)
+    most = F.when(room < 0, 0).when(F.col("size") == 0, F.col("rows")).otherwise(F.expr("(room div size + 1) div 2"))
+    units = units.withColumn("room", room).withColumn("within", F.least(F.col("rows"), most)).filter("within > 0")
+    last = materialize(units.groupBy(*keys).agg(F.max(F.struct("u", "doc_id", "size", "rows", "within")).alias("last")))
     bounds = materialize(filled.join(edge, keys, "left").join(last, keys, "left").withColumnRenamed("times", "t0"))
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     carried = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     carried = carried.withColumn("size", word_count(text_of("row.text"))).withColumn("u", uniform(seed, "doc_id"))
     out = lookup(carried, bounds, keys, "left")
-    at = F.struct("u", "doc_id", "size")
-    more = F.when(F.floor(F.col("u") * F.col("slices")) < F.col("edge"), 1).when(F.col("last").isNotNull() & (F.floor(F.col("u") * F.col("slices")) == F.col("edge")) & (at <= F.col("last")), 1).otherwise(0)
+    at, slice_ = F.struct("u", "doc_id", "size"), F.floor(F.col("u") * F.col("slices"))
+    end = F.struct("last.u", "last.doc_id", "last.size")
+    known = F.coalesce(F.col("last").isNotNull() & (slice_ == F.col("edge")), F.lit(False))
+    more = F.when(slice_ < F.col("edge"), 1).when(known & (at <= end), 1).otherwise(0)
+    if not bounds.filter("last.within < last.rows").isEmpty():
+        out = _parted(out.withColumn("split", known & at.eqNullSafe(end) & (F.col("last.within") < F.col("last.rows"))), keys)
+        more = F.when(F.col("nth").isNotNull(), (F.col("nth") <= F.col("last.within")).cast("int")).otherwise(more)
     return out.select("doc_id", F.when(~F.col("k0"), F.col("k")).alias("source"), "row", "size", "source_size", "target", (F.col("t0") + more).cast("long").alias("repeats"))
 
 
+def _parted(out: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds nth, which numbers each source's rows that are ``split``; null for all others.
+
+    Such rows are alike but may be a large part of the table.  They are written with the task they
+    came from, numbered within it, and the tasks' counts are summed.
+    """
+    split = materialize(out.filter("split").withColumns({"task": F.spark_partition_id(), "number": F.monotonically_increasing_id()}))
+    tasks = split.groupBy(*keys, "task").agg(F.count(F.lit(1)).alias("rows"))
+    run = W.partitionBy(*keys).orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # a row per task
+    tasks = materialize(tasks.select(*keys, "task", F.coalesce(F.sum("rows").over(run), F.lit(0)).alias("ahead")))
+    nth = F.row_number().over(W.partitionBy(*keys, "task").orderBy("number"))
+    numbered = lookup(split, tasks, [*keys, "task"], "inner").withColumn("nth", F.col("ahead") + nth)
+    return out.filter("NOT split").withColumn("nth", F.lit(None).cast("long")).unionByName(numbered.drop("task", "number", "ahead"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
