@@ -6,6 +6,9 @@ whose energy passes an upper threshold open a segment that lasts until it falls
 and the frames are cut into tensors of one fixed shape with time spans, as an Arrow stream whose
 column has the fixed-shape tensor type.
 
+The query writes the media column to the shared folder and computes features from what it reads
+there.  Samples at 12 kHz become 8 kHz, two filter phases by turns.
+
 A file is computed by itself and long ones block by block, always at the same places, so equal files
 give equal values and memory doesn't grow with a file beyond its samples and its features.
 
@@ -24,9 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, materialize, table
 
-RATE, TARGET = 16_000, 8_000
+RATE, TARGET = 12_000, 8_000
 FRAME, HOP, MELS, WINDOW = 256, 128, 40, 32
 TAPS, UPPER, LOWER = 16, 3.0, 1.0
 UNIT = 192
@@ -206,6 +209,7 @@ def read_tensors(stream: bytes):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features(to_wav(table(spark, sf_dir, "documents")))
+    stored = materialize(to_wav(table(spark, sf_dir, "documents")))
+    out = features(stored)
     feature = F.concat_ws(":", "frames", F.size("segments"), F.sha2(F.concat(F.col("tensors"), F.to_json("segments").cast("binary")), 256))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
