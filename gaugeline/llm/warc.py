@@ -6,7 +6,9 @@ written by Spark's own file writer, with its commit protocol, to any file system
 The reader plans a partition per archive, takes filters on record_type, record_id, target_uri,
 refers_to and payload_digest, parses a record's headers first, and passes over the block of a record
 that a filter rejects or whose payload isn't wanted (option ``payload``: ``true``, the default, or
-``false``).
+``false``).  Archives may be compressed (``.gz``, a member a record or not); header names are met in any
+case; a block that is no HTTP response is its own payload; an archive that is cut off raises.
+The query reads payloads of responses only and takes revisits from their headers.
 
 Equal payloads of at least ``least`` bytes are stored once: the record with the largest page_id is the
 response, the others are revisits that refer to it.  Null html is empty; a null url has no header;
@@ -17,8 +19,9 @@ An empty table makes an empty archive and an empty result.  Other columns are no
 
 from __future__ import annotations
 
+import contextlib
+import gzip
 import io
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ LEAST = 1000
 URN = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, file string, position long, payload binary"
+#: Record types whose block is a payload.
+STORED = ("response", "resource")
 #: The column that each header gives.
 HEADERS = {"WARC-Record-ID": "record_id", "WARC-Type": "record_type", "WARC-Target-URI": "target_uri", "WARC-Refers-To": "refers_to", "WARC-Payload-Digest": "payload_digest", "X-Payload-Length": "payload_length"}
 
@@ -100,38 +105,69 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+def headers(file, what: str) -> dict[str, str]:
+    """Header lines up to the blank one: names in lower case, and lines that go on joined."""
+    found: dict[str, str] = {}
+    name = None
+    while (line := file.readline()) not in (b"\r\n", b"\n"):
+        if not line:
+            raise ValueError(f"{what} is cut off")
+        text = line.decode(errors="replace")
+        if text[0] in " \t" and name:
+            found[name] += " " + text.strip()
+        else:
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def payload_of(block: bytes, content_type: str) -> bytes:
+    """What an HTTP response holds; any other block is its own payload."""
+    if not content_type.lower().startswith("application/http") or not block.startswith(b"HTTP/"):
+        return block
+    ends = [at + len(e) for e in (b"\r\n\r\n", b"\n\n") if (at := block.find(e)) >= 0]
+    return block[min(ends) :] if ends else b""
+
+
 def records(folder: str, path: str, payload: bool = True, wanted=()):
-    """The records of an archive that pass ``wanted``, pairs of a column and the values let through."""
+    """The records of an archive that pass ``wanted``, pairs of a column and the values let through.
+
+    Archives whose name ends in .gz are read member after member; positions are those in the inflated bytes.
+    """
     fs, _ = filesystem(folder)
-    with io.BufferedReader(fs.open_input_file(path), 1 << 20) as file:
+    with contextlib.ExitStack() as stack:
+        raw = stack.enter_context(fs.open_input_file(path))
+        if path.endswith(".gz"):
+            raw = stack.enter_context(gzip.GzipFile(fileobj=raw))
+        file = stack.enter_context(io.BufferedReader(raw, 1 << 20))
         while True:
             position = file.tell()
             version = file.readline()
             if not version:
                 return
+            what = f"{path}: the record at {position}"
             if not version.startswith(b"WARC/"):
                 raise ValueError(f"{path}: no record at {position}")
-            row, length = {"file": path, "position": position}, 0
-            while (head := file.readline()) not in (b"\r\n", b""):
-                name, _, value = head.decode().partition(":")
-                value = value.strip()
-                if name == "Content-Length":
-                    length = int(value)
-                elif name in HEADERS:
-                    row[HEADERS[name]] = value.strip("<>") if value[:1] == "<" else value
+            said = headers(file, what)
+            row: dict = {"file": path, "position": position}
+            for name, column in HEADERS.items():
+                if (value := said.get(name.lower())) is not None:
+                    row[column] = value[1:-1] if value[:1] == "<" and value[-1:] == ">" else value
             if "payload_length" in row:
                 row["payload_length"] = int(row["payload_length"])
             if "payload_digest" in row:
                 row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
-            if payload and row.get("record_type") == "response" and all(row.get(c) in v for c, v in wanted):
+            length = int(said.get("content-length", 0))
+            passes = all(row.get(c) in v for c, v in wanted)
+            if passes and payload and row.get("record_type") in STORED:
                 block = file.read(length)
-                if len(block) < length:
-                    raise ValueError(f"{path}: the record at {position} is cut off")
-                row["payload"] = block[block.index(b"\r\n\r\n") + 4 :]
-                file.seek(4, io.SEEK_CUR)
+                row["payload"] = payload_of(block, said.get("content-type", ""))
             else:
-                file.seek(length + 4, io.SEEK_CUR)
-            if all(row.get(c) in v for c, v in wanted):
+                file.seek(length, io.SEEK_CUR)
+            if file.read(4) != b"\r\n\r\n":  # in its place if the block is whole
+                raise ValueError(f"{what} is cut off")
+            if passes:
                 yield row
 
 
@@ -157,14 +193,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/archives"
     write(table(spark, sf_dir, "pages"), folder)
     number = lambda c: F.expr(f"try_cast(substr({c}, {len(URN) + 1}) AS BIGINT)")
-    stored = F.col("payload").isNotNull()
-    return read(spark, folder).select(
-        number("record_id").alias("page_id"),
-        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    named = lambda df, size, digest: df.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    # what a response holds is read and measured; of revisits, the headers say it
+    responses = read(spark, folder).filter("record_type = 'response'")
+    revisits = read(spark, folder, payload=False).filter("record_type = 'revisit'")
+    responses = named(responses, F.octet_length("payload").cast("long"), F.sha1("payload"))
+    return responses.unionByName(named(revisits, F.col("payload_length"), F.col("payload_digest")))
 
 
 SQL = f"""

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -70,3 +72,36 @@ def test_filters_reach_the_reader_and_payloads_are_passed_over(spark, tmp_path):
     reader = warc.WarcReader({"path": folder})
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == [] and reader.wanted
     assert filesystem(folder)[1] == f"{tmp_path}/archives"
+
+
+def archive(*records):
+    out = b""
+    for lines, block in records:
+        out += b"WARC/1.0\r\n" + b"".join(x + b"\r\n" for x in lines) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    return out
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    one = archive(([b"warc-type: warcinfo", b"WARC-Record-ID: <urn:a>"], b"software: x"))
+    two = archive(
+        ([b"WARC-TYPE: response", b"warc-record-id: <urn:b>", b"Content-Type: application/http;", b" msgtype=response", b"WARC-Target-URI: http://\xff/"], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nWARC/1.0\r\n\r\nbody"),
+        ([b"WARC-Type: response", b"WARC-Record-ID: <urn:c>", b"Content-Type: text/dns"], b"no http here"),
+        ([b"WARC-Type: resource", b"WARC-Record-ID: <urn:d>", b"Content-Type: application/http"], b""),
+    )
+    for name, data in (("plain.warc", one + two), ("one.warc.gz", gzip.compress(one + two)), ("members.warc.gz", gzip.compress(one) + gzip.compress(two))):
+        folder = tmp_path / name.replace(".", "-")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        got = {r["record_id"]: r for r in warc.read(spark, f"file://{folder}").collect()}
+        assert {k: r["payload"] and bytes(r["payload"]) for k, r in got.items()} == {"urn:a": None, "urn:b": b"WARC/1.0\r\n\r\nbody", "urn:c": b"no http here", "urn:d": b""}
+        assert got["urn:b"]["target_uri"] == "http://\ufffd/"
+        assert warc.read(spark, f"file://{folder}", payload=False).filter("record_type = 'response'").count() == 2
+
+
+@pytest.mark.parametrize("lost", [1, 4, 8, 30])
+def test_archives_that_are_cut_off_raise(tmp_path, lost):
+    data = archive(([b"WARC-Type: response", b"WARC-Record-ID: <urn:b>"], b"0123456789"))
+    (tmp_path / "a.warc").write_bytes(data[:-lost])
+    for payload in (True, False):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.records(f"file://{tmp_path}", f"{tmp_path}/a.warc", payload))
