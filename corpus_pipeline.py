@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import line_templates, mixing, near_duplicates, packing, quality_rules
-from gaugeline.llm.common import lookup, materialize, table
+from gaugeline.llm.common import materialize, table
+
+#: From this similarity in percent on, documents are near duplicates.
+SIMILAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; emptied documents go."""
-    return line_templates.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Lines of recurring templates go from all documents but the first; emptied documents go.
+
+    Documents that the next stage takes for copies as a whole are left to it.
+    """
+    return line_templates.cleaned(docs, SIMILAR).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    found = materialize(near_duplicates.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
-    return lookup(docs, found, ["doc_id"], "left_anti")
+    """Of each group of near duplicates the document with the least doc_id stays, in one row."""
+    return near_duplicates.one_of_each(docs, SIMILAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def row_key(doc_id: str | Column = "doc_id") -> Column:
+    """``known``: doc_id, or a number below all others where there is none."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("known")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (of the text, so that rows which share a doc_id part) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("mark"), "text")
+
+
 def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; the blanks put around make the first and last part empty."""
     return (F.size(F.split(F.concat(F.lit(" "), text, F.lit(" ")), SPACE, -1)) - 2).cast("long")

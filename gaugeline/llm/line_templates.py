@@ -5,9 +5,10 @@ has a fixed depth: a line goes down by its number of tokens and its first ``DEPT
 In a leaf, lines that agree in at least ``SIMILAR`` of their tokens share a template, whose other
 places are variable fields, whatever their length.
 
-A template found in at least ``DOCUMENTS`` documents is recurring: its lines are dropped in all
-documents but the one with the least doc_id, so that the text itself isn't lost.  Lines of fewer than
-``LEAST`` tokens, and those of which most tokens are variable, are never dropped.
+A template found in at least ``DOCUMENTS`` documents, or two if it has ``LONG`` tokens or more, is
+recurring: its lines are dropped in all documents but the one with the least doc_id, so that the text
+itself isn't lost.  Lines of fewer than ``LEAST`` tokens, and those of which most tokens are variable,
+are never dropped.
 
 Templates don't depend on how a leaf is dealt.  A leaf's lines pass through a task one by one, which
 holds the templates alone, and a line looks at templates with which it has a block of tokens in common.
@@ -17,9 +18,15 @@ in a join whose hot keys AQE splits.
 
 Then passages that recur inside lines go (``passages``).  A line of which nothing is left counts as dropped.
 
-Null and empty texts have no lines and stay as they are.  Rows that repeat a doc_id are decided alike.
-A null doc_id is never the first; if all are null, nothing of the template is dropped.  An empty table gives an empty result.
-Other columns are carried along.
+``copies`` leaves whole documents to near-duplicate detection: a document that has the similarity with
+an earlier one, with which it shares most anchors of passages, counts as that document, and only what
+goes from that one goes from it.  Without it every document counts.
+
+Null and empty texts have no lines and stay as they are.  A row is known by its doc_id and its text, so
+what goes from it is its own lines only: rows that repeat both are decided alike, rows that share a
+doc_id but not the text are cut apart, and all rows of the first doc_id keep the template's lines.
+A null doc_id is never the first; if all are null, nothing of the template is dropped.  An empty table
+gives an empty result.  Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -29,15 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import passages
-from .common import lookup, map_arrow, materialize, partitions, table, text_of
+from . import near_duplicates, passages
+from .common import lookup, map_arrow, marked, materialize, partitions, row_key, table, text_of
 from .near_duplicates import components
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
 DEPTH, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 3, 3, 0.8, 2000
+#: Lines of so many words don't meet by chance: two documents make them recurring.
+LONG = 50
 #: The value of a variable field.
 FIELD = 0x5BD1E995
-LINES = "doc_id long, line int, tokens int, leaf long, signature long, first boolean, values binary"
+LINES = "doc_id long, mark long, line int, tokens int, leaf long, signature long, first boolean, values binary"
 
 
 def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
@@ -54,7 +63,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, marks = batch.column("doc_id"), batch.column("mark")
             for a, b, texts in slices(batch.column("text"), 1 << 21):
                 raw, offsets = laid_out(texts)
                 values, begins, ends = word_hashes(raw, offsets, lower=False)
@@ -77,10 +86,10 @@ def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame
                 first[at] = True
                 narrow = values.astype("<u4")
                 brief = [narrow[s : s + n].tobytes() if f else None for s, n, f in zip(starts.tolist(), counts.tolist(), first.tolist())]
-                columns = [ids.slice(a, b - a).take(pa.array(doc)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), signature.view(np.int64), first]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:1]), *(pa.array(c) for c in columns[1:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
+                columns = [*(c.slice(a, b - a).take(pa.array(doc)) for c in (ids, marks)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), signature.view(np.int64), first]
+                yield pa.RecordBatch.from_arrays([*columns[:2], *map(pa.array, columns[2:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, LINES)
+    return map_arrow(marked(docs), run, LINES)
 
 
 def blocks(n: int, similar: float = SIMILAR, depth: int = DEPTH) -> list[tuple[int, int]]:
@@ -166,12 +175,13 @@ def templates(several: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return map_arrow(rows.sortWithinPartitions("leaf", "part", F.desc("documents"), "signature"), run, "signature long, template long")
 
 
-def recurring(lines: DataFrame, documents: int = DOCUMENTS, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
-    """signature, first_doc of the lines of recurring templates."""
+def recurring(lines: DataFrame, documents: int = DOCUMENTS, long_: int = LONG, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """signature, first_doc of the lines of recurring templates; ``lines`` are those of documents that count."""
     firsts = lines.filter("first")
-    seen = materialize(firsts.groupBy("signature", "leaf").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
+    seen = materialize(firsts.groupBy("signature", "leaf", "tokens").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")))
     # leaves in which there is something to merge
-    several = materialize(seen.withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("leaf"))).filter("crowd > 1"))
+    leaves = materialize(seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
+    several = materialize(lookup(seen, leaves, ["leaf"], "inner"))
     # only their tokens are shuffled; they follow from the signature
     values = materialize(lookup(firsts.select("signature", "values"), several.select("signature"), ["signature"], "left_semi").dropDuplicates(["signature"]))
     several = materialize(several.join(values, "signature"))
@@ -181,14 +191,16 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS, similar: float = SIM
     else:
         linked = chains(crowded, similar).select(F.col("node").alias("signature"), F.col("comp").alias("part"))
         several = lookup(several, linked, ["signature"]).withColumn("part", F.when(F.col("crowd") > crowd, F.coalesce("part", "signature")).otherwise(F.lit(0)))
-    named = templates(several, similar)
+    named = materialize(templates(several, similar))
     # templates of more than one line; all others keep the counts they have
-    grouped = materialize(named.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("template"))).filter("n > 1").select("signature", "template"))
-    marked = lookup(seen.select("signature", "documents", "first_doc"), grouped, ["signature"])
-    alone = marked.filter("template IS NULL").filter(F.col("documents") >= documents).select("signature", "first_doc")
+    wide = materialize(named.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("template"))
+    grouped = materialize(lookup(named, wide, ["template"], "left_semi"))
+    marked = lookup(seen.select("signature", "tokens", "documents", "first_doc"), grouped, ["signature"])
+    enough = F.col("documents") >= F.when(F.col("tokens") >= long_, F.least(F.lit(documents), F.lit(2))).otherwise(F.lit(documents))
+    alone = marked.filter("template IS NULL").filter(enough).select("signature", "first_doc")
     shared = materialize(marked.filter("template IS NOT NULL"))
-    many = shared.groupBy("template").agg(F.sum("documents").alias("documents"), F.min("first_doc").alias("first")).filter(F.col("documents") >= documents)
-    both = alone.union(lookup(shared.drop("documents"), materialize(many.drop("documents")), ["template"], "inner").select("signature", F.col("first").alias("first_doc")))
+    many = shared.groupBy("template", "tokens").agg(F.sum("documents").alias("documents"), F.min("first_doc").alias("first")).filter(enough)
+    both = alone.union(lookup(shared.drop("documents", "tokens"), materialize(many.select("template", "first")), ["template"], "inner").select("signature", F.col("first").alias("first_doc")))
     return materialize(both.filter("first_doc IS NOT NULL"))
 
 
@@ -208,23 +220,35 @@ def without(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(cut(F.coalesce(text, F.lit("")), dropped))
 
 
-def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CROWD) -> DataFrame:
+def leaders(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id and the least doc_id of the documents it is linked with; only those that aren't their own."""
+    best = materialize(passages.shared_most(docs))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(near_duplicates.nodes_of(best), "node", "left_semi")
+    sets = materialize(near_duplicates.sets_of(texts))
+    links = materialize(near_duplicates.verified(best, sets, percent))
+    return materialize(components(links).filter("node <> comp").select(F.col("node").alias("doc_id"), F.col("comp").alias("leader")))
+
+
+def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CROWD, copies: int | None = None) -> DataFrame:
     """``docs`` with ``text`` cut, under a struct ``row``, and n_lines and n_dropped.
 
-    doc_id is beside the struct, so that no column name can clash.
+    doc_id is beside the struct, so that no column name can clash.  ``copies`` is a similarity in percent.
     """
     lines = materialize(parsed(docs))
-    gone = lookup(lines.select("doc_id", "line", "signature"), recurring(lines, documents, crowd=crowd), ["signature"], "inner")
-    gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("doc_id").isNotNull())
-    gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")))
+    led = leaders(docs, copies) if copies else None
+    lines = passages.counted(lines, led)
+    gone = lookup(lines.select("doc_id", "mark", "line", "signature", "who"), recurring(lines.filter("NOT copy"), documents, crowd=crowd), ["signature"], "inner")
+    gone = gone.filter(~F.col("who").eqNullSafe(F.col("first_doc")))
+    gone = materialize(gone.groupBy(row_key(), "mark").agg(F.collect_set("line").alias("dropped")))
     rest = [c for c in docs.columns if c != "doc_id"]
     carried = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    carried = carried.withColumns({"known": row_key(), "mark": F.xxhash64(text_of("row.text"))})
     # a shuffled join at every size: what is dropped grows with the texts
-    out = carried.join(gone.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left")
-    out = out.select("doc_id", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), _lines("row.text").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = carried.join(gone.hint("merge"), ["known", "mark"], "left")
+    out = out.select("doc_id", "known", "mark", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), _lines("row.text").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
     out = materialize(out)
-    spans = passages.recurring(out.select("doc_id", F.col("row.text").alias("text")), documents)
-    out = lookup(out.withColumn("gone_id", F.col("doc_id").cast("long")), spans.withColumnRenamed("doc_id", "gone_id"), ["gone_id"])
+    spans = passages.recurring(out.select(F.col("doc_id").cast("long"), "mark", F.col("row.text").alias("text")), min(documents, 2), led)
+    out = lookup(out, spans, ["known", "mark"])
     out = out.withColumn("left", passages.without(F.col("row.text"), F.col("windows")))
     emptied = F.when(F.col("windows").isNull(), F.lit(0)).otherwise(_lines("row.text") - _lines("left"))
     return out.select("doc_id", F.col("row").withField("text", F.col("left")).alias("row"), "n_lines", (F.col("n_dropped") + emptied).alias("n_dropped"))
@@ -240,7 +264,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.col("row.text").alias("text"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, copies: int | None = None) -> DataFrame:
     """The columns of ``docs``; documents of which no line is left are gone."""
-    out = drop_recurring(docs).filter("n_dropped = 0 OR n_dropped < n_lines")
+    out = drop_recurring(docs, copies=copies).filter("n_dropped = 0 OR n_dropped < n_lines")
     return out.select(*["doc_id" if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])

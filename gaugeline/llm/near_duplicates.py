@@ -10,11 +10,12 @@
 5. A component's id is its least doc_id.
 
 Similarity is tested as ``100 * both >= percent * either`` on distinct shingles.  Texts with a
-similarity of 0.85 share a bucket with probability 1 - 1e-6.  The likelihood's bound is four standard
-errors below the similarity: by the normal approximation it drops about 3e-5 of links at exactly 0.85.
+similarity of 0.85 (36 bands of 7) share a bucket with probability 1 - 1e-6, of 0.8 (42 of 6) with
+1 - 3e-6.  The likelihood's bound is five standard errors below the similarity: by the normal
+approximation it drops about 3e-7 of links at exactly that similarity.
 
-Nulls and texts without words have an empty set and link with nothing.  doc_id is the document's
-identity: rows that repeat it with the same text fall together.  A null doc_id takes part; its
+Nulls and texts without words have an empty set and link with nothing.  Rows that share a doc_id and
+the set fall together; rows that share a doc_id but not the set are linked apart.  A null doc_id takes part; its
 component_id is null if no numbered document is in its component.  An empty table gives an empty result.
 Columns other than doc_id and text are not looked at.
 """
@@ -29,11 +30,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setsketch as sk
-from .common import lookup, map_arrow, materialize, partitions, table
+from .common import lookup, map_arrow, marked, materialize, partitions, row_key, table, text_of
 from .shingles import shingle_sets, slices
 
 PERCENT, BLOCK = 85, 500
-#: Nodes of classes in which no doc_id is known are numbered from here.
+#: Nodes of rows without a doc_id, or whose doc_id stands beside several sets, are numbered from here.
 UNKNOWN = 1 << 62
 
 
@@ -54,7 +55,7 @@ def _least(percent: int, width: int = 2) -> int:
 
 
 def sketched(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
-    """doc_id, node, n_shingles, key, sketch (null for sets too small to be near any other)."""
+    """doc_id, mark (of the text), node, n_shingles, key, sketch (null for sets too small to be near any other)."""
     least = _least(percent)
 
     def run(batches):
@@ -71,20 +72,20 @@ def sketched(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFra
                 for row, i in enumerate(wide):
                     sketch[i] = made[row].tobytes()
                 nodes = [_node(d, k or b"none") for d, k in zip(ids[a:b], keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "node", "n_shingles", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), batch.column("mark").slice(a, b - a), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "mark", "node", "n_shingles", "key", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, n_shingles long, key binary, sketch binary")
+    return map_arrow(marked(docs), run, "doc_id long, mark long, node long, n_shingles long, key binary, sketch binary")
 
 
-def banded(nodes: DataFrame) -> DataFrame:
+def banded(nodes: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
                 sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, sk.M)
-                node = np.repeat(batch.column("node").to_numpy(), sk.BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(sk.bands(sketch).ravel()), pa.array(node)], names=["bucket", "node"])
+                node = np.repeat(batch.column("node").to_numpy(), sk.M // rows)
+                yield pa.RecordBatch.from_arrays([pa.array(sk.bands(sketch, rows).ravel()), pa.array(node)], names=["bucket", "node"])
 
     return map_arrow(nodes.select("node", "sketch"), run, "bucket long, node long")
 
@@ -106,22 +107,23 @@ def likely(pairs: DataFrame, known: DataFrame, bound: float) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
-    """node and its full set, of the documents named."""
+def sets_of(texts: DataFrame, width: int = 5) -> DataFrame:
+    """node and the full set of its text, once; rows that share a node have equal sets."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for a, b, part in slices(batch.column("text"), 1 << 21):
-                sets = list(shingle_sets(part, width))
-                yield pa.RecordBatch.from_arrays([pa.array([_node(d, _key(s)) for d, s in zip(ids[a:b], sets)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], names=["node", "set"])
+
+    return map_arrow(texts.select("node", "text"), run, "node long, set binary").dropDuplicates(["node"])
 
-    wanted = nodes.select(F.when(F.col("node") < UNKNOWN, F.col("node")).otherwise(-1).alias("wanted")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(wanted, F.coalesce("doc_id", F.lit(-1)) == F.col("wanted"), "left_semi")
-    return map_arrow(rows, run, "node long, set binary")
+
+def texts_of(docs: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the documents in pairs (a, b)."""
+    places = every.join(nodes_of(pairs), "node", "left_semi").dropDuplicates(["node"]).select("node", row_key(), "mark")
+    return marked(docs).select(row_key(), "mark", "text").join(places, ["known", "mark"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -143,11 +145,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return map_arrow(pairs, run, "a long, b long")
 
 
-def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Likely pairs of different components within buckets, each pair in the first bucket it shares.
 
     A bucket of up to ``block`` members is one group.  A larger one is dealt into blocks, and any two
     of them are a group: groups hold at most twice ``block`` members, however large the bucket.
+    ``width`` is the number of a band's registers.
     """
 
     def compare(band, rows):
@@ -166,8 +169,8 @@ def across(members: DataFrame, bound: float, percent: int = PERCENT, block: int
             j = j[sk.at_least(sketch[i], sketch[j], n[i], n[j], bound)]
             if not len(j):
                 continue
-            same = (sketch[j] == sketch[i]).reshape(-1, sk.BANDS, sk.ROWS).all(axis=2)
-            for k in j[same.argmax(axis=1) == band].tolist():
+            same = (sketch[j] == sketch[i]).reshape(len(j), -1, width).all(axis=2)
+            for k in j[same.argmax(axis=1) & sk.LOW == band].tolist():
                 yield min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))
 
     def run(batches):
@@ -216,39 +219,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; a row per row of ``docs``."""
+def grouped(docs: DataFrame, percent: int = PERCENT, width: int = 5, block: int = BLOCK) -> DataFrame:
+    """doc_id, mark, node, n_shingles, comp and least (the component's least node and doc_id); a row per row of ``docs``."""
     similarity = percent / 100
-    bound = similarity - 4 * (similarity * (1 - similarity) / sk.M) ** 0.5
+    bound, rows = similarity - 5 * (similarity * (1 - similarity) / sk.M) ** 0.5, sk.rows_of_a_band(similarity)
     every = materialize(sketched(docs, percent, width))
+    several = every.filter("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("k0"), F.max(F.xxhash64("key")).alias("k1"))
+    several = materialize(several.filter("k0 <> k1").select("doc_id", F.lit(True).alias("several")))
+    parted = not several.isEmpty()
+    if parted:
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 2).bitwiseOR(F.lit(UNKNOWN))
+        every = materialize(lookup(every, several, ["doc_id"]).withColumn("node", F.when(F.col("several") & F.col("key").isNotNull(), own).otherwise(F.col("node"))).drop("several"))
     copies = materialize(every.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("class")).filter("n > 1").drop("n"))
     classed = materialize(lookup(every, copies, ["key"]).withColumn("class", F.coalesce("class", "node")))
     heads = classed.filter("sketch IS NOT NULL AND node = class").select("node", "n_shingles", "sketch")
     # most buckets hold one member and end here: one shuffle, and only the others are written
     inside = W.partitionBy("bucket")
-    members = materialize(banded(heads).withColumn("size", F.count(F.lit(1)).over(inside)).filter("size > 1"))
+    members = materialize(banded(heads, rows).withColumn("size", F.count(F.lit(1)).over(inside)).filter("size > 1"))
     meets = W.partitionBy("node")  # as many rows as there are bands
     members = materialize(members.withColumn("meets", F.sum("size").over(meets)))
     known = materialize(heads.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     pivots = materialize(members.groupBy("bucket").agg(F.max(F.struct(F.col("meets"), (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("pivot")))
     pairs = members.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     pairs = materialize(likely(pairs.distinct(), known, bound))
-    links = materialize(verified(pairs, materialize(sets_of(docs, _nodes(pairs), width)), percent))
+    links = materialize(verified(pairs, materialize(sets_of(texts_of(docs, every, pairs), width)), percent))
     labels = components(links)
     # buckets whose members aren't all one component yet
     named = materialize(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = materialize(named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket"))
     rest = named.join(open_, "bucket").select("bucket", "size", "node", "comp")
-    more = materialize(across(rest.join(known, "node"), bound, percent, block))
-    more = materialize(verified(more, materialize(sets_of(docs, _nodes(more), width)), percent))
+    more = materialize(across(rest.join(known, "node"), bound, rows, percent, block))
+    more = materialize(verified(more, materialize(sets_of(texts_of(docs, every, more), width)), percent))
     labels = components(materialize(links.union(more)))
-    out = lookup(classed.drop("sketch"), labels.select(F.col("node").alias("class"), "comp"), ["class"])
-    comp = F.coalesce("comp", "class")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(comp < UNKNOWN, comp)
+    out = lookup(classed.drop("sketch", "key"), labels.select(F.col("node").alias("class"), "comp"), ["class"])
+    out = out.select("doc_id", "mark", "node", "n_shingles", F.coalesce("comp", "class").alias("comp"))
+    if not parted:
+        return out.withColumn("least", F.when(F.col("comp") < UNKNOWN, F.col("comp")))
+    out = materialize(out)
+    return lookup(out, materialize(out.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))), ["comp"])
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = 5, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; a row per row of ``docs``."""
+    out = grouped(docs, percent, width, block)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of its least node, which is the least doc_id.
+
+    Of rows that share the node the one with the least hash of its text stays, of equal rows any.
+    Rows whose text has no words stay.
+    """
+    found = materialize(grouped(docs, percent, width).filter("n_shingles > 0").select("doc_id", "mark", "node", "comp"))
+    first = found.filter("node = comp")
+    twice = materialize(first.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.min("mark").alias("least")).filter("rows > 1").drop("rows"))
+    shared = lookup(first, twice, ["comp"], "inner")
+    gone = found.filter("node <> comp").select(row_key(), "mark").union(shared.filter("mark <> least").select(row_key(), "mark"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    carried = carried.select("row", row_key(F.col("row.doc_id")), F.xxhash64(text_of("row.text")).alias("mark"))
+    left = lookup(carried, materialize(gone.distinct()), ["known", "mark"], "left_anti")
+    equal = materialize(shared.filter("mark = least").groupBy(row_key(), "mark").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    if not equal.isEmpty():
+        left = lookup(left, equal, ["known", "mark"], "left_anti").unionByName(lookup(left, equal, ["known", "mark"], "left_semi").dropDuplicates(["known", "mark"]))
+    return left.select("row.*")
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 

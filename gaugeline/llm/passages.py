@@ -5,6 +5,8 @@ have digits is none.  Each run of exactly ``RUN`` words is a window.  Its least
 is its anchor, so equal windows have equal anchors, and only windows whose anchor is found in enough
 documents are counted: none is missed.  A window found in at least ``documents`` documents goes from
 all but the one with the least doc_id.
+
+Rows are known by doc_id and mark, see ``common.marked``.
 """
 
 from __future__ import annotations
@@ -13,10 +15,9 @@ import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lookup, map_arrow, materialize
+from .common import lookup, map_arrow, marked, materialize, row_key
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
 RUN, GRAM = 50, 25
@@ -62,7 +63,7 @@ def _once(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """A row per document and different anchor."""
+    """A row per document and different anchor.  docs: doc_id, mark, text."""
 
     def run(batches):
         import pyarrow as pa
@@ -72,9 +73,9 @@ def anchors(docs: DataFrame) -> DataFrame:
                 doc, _, anchor, _ = windows(texts)
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])) if len(doc) else np.zeros(0, np.int64)
                 new = new[_once(doc[new], anchor[new])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(doc[new])), pa.array(anchor[new].view(np.int64))], names=["doc_id", "anchor"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(pa.array(doc[new])) for c in ("doc_id", "mark")), pa.array(anchor[new].view(np.int64))], names=["doc_id", "mark", "anchor"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, anchor long")
+    return map_arrow(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, anchor long")
 
 
 def met(docs: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def met(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            wanted, ids = batch.column("anchors"), batch.column("doc_id")
+            wanted = batch.column("anchors")
             for a, b, texts in slices(batch.column("text"), 1 << 21):
                 doc, at, anchor, whole = windows(texts)
                 lists = wanted.slice(a, b - a)
@@ -97,23 +98,41 @@ def met(docs: DataFrame) -> DataFrame:
                 doc, at, whole = doc[keep], at[keep], whole[keep]
                 first = np.zeros(len(doc), dtype=bool)
                 first[_once(doc, whole)] = True
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(first)], names=["doc_id", "at", "whole", "first"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in ("doc_id", "mark")), pa.array(at.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(first)], names=["doc_id", "mark", "at", "whole", "first"])
+
+    return map_arrow(docs.select("doc_id", "mark", "text", "anchors"), run, "doc_id long, mark long, at int, whole long, first boolean")
+
+
+def counted(rows: DataFrame, led: DataFrame | None) -> DataFrame:
+    """Adds who (the document that a row's counts as) and copy (whether that is another one)."""
+    if led is None:
+        return rows.withColumns({"who": F.col("doc_id"), "copy": F.lit(False)})
+    return lookup(rows, led, ["doc_id"]).withColumns({"who": F.coalesce("leader", "doc_id"), "copy": F.col("leader").isNotNull()}).drop("leader")
+
 
-    return map_arrow(docs, run, "doc_id long, at int, whole long, first boolean")
+def shared_most(docs: DataFrame, share: float = 0.25) -> DataFrame:
+    """(a, b): for each doc_id b the first document a of most of its anchors, if of ``share`` of them at least."""
+    found = materialize(anchors(marked(docs.filter("doc_id IS NOT NULL"))))
+    first = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a <> last").select("anchor", "a"))
+    met_ = lookup(found, first, ["anchor"], "inner").filter("doc_id <> a").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = materialize(met_.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("most")).select(F.col("doc_id").alias("b"), F.col("most.n").alias("n"), (-F.col("most.a")).alias("a")))
+    sizes = lookup(found.select(F.col("doc_id").alias("b")), best.select("b"), ["b"], "left_semi").groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    return best.join(sizes, "b").filter(F.col("n") >= share * F.col("size")).select("a", "b")
 
 
-def recurring(docs: DataFrame, documents: int) -> DataFrame:
-    """doc_id and the windows to drop, by their first words' numbers; ``docs`` is a written table."""
+def recurring(docs: DataFrame, documents: int, led: DataFrame | None = None) -> DataFrame:
+    """known, mark and the windows to drop, by their first words' numbers; ``docs`` (doc_id, mark, text) is a written table."""
     found = materialize(anchors(docs))
-    common = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents).select("anchor"))
-    lists = lookup(found, common, ["anchor"], "inner").withColumn("known", F.coalesce("doc_id", F.lit(-1)))
-    lists = materialize(lists.groupBy("known").agg(F.collect_set("anchor").alias("anchors")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("known", F.coalesce("doc_id", F.lit(-1)))
-    rows = lookup(rows, materialize(lists.select("known")), ["known"], "left_semi").join(lists.hint("merge"), "known")
-    same = W.partitionBy("whole")
-    seen = met(rows.select("doc_id", "text", "anchors")).withColumns({"n": F.sum(F.col("first").cast("int")).over(same), "first_doc": F.min("doc_id").over(same)})
-    gone = seen.filter((F.col("n") >= documents) & (F.col("doc_id") != F.col("first_doc")))
-    return materialize(gone.groupBy("doc_id").agg(F.collect_set("at").alias("windows")))
+    common = materialize(counted(found, led).filter("NOT copy").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents).select("anchor"))
+    lists = lookup(found, common, ["anchor"], "inner")
+    lists = materialize(lists.groupBy(row_key(), "mark").agg(F.collect_set("anchor").alias("anchors")))
+    rows = docs.withColumn("known", row_key())
+    rows = lookup(rows, materialize(lists.select("known", "mark")), ["known", "mark"], "left_semi").join(lists.hint("merge"), ["known", "mark"])
+    seen = counted(materialize(met(rows)), led)
+    # partial counts make a passage that stands in very many documents one row a task
+    wanted = materialize(seen.filter("first AND NOT copy").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter(F.col("n") >= documents).filter("first_doc IS NOT NULL").drop("n"))
+    gone = lookup(seen, wanted, ["whole"], "inner").filter(~F.col("who").eqNullSafe(F.col("first_doc")))
+    return materialize(gone.groupBy(row_key(), "mark").agg(F.collect_set("at").alias("windows")))
 
 
 def cut(text: str, starts) -> str:

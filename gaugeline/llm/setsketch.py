@@ -16,8 +16,9 @@ import numpy as np
 
 from .shingles import U, mixed
 
-BANDS, ROWS = 36, 7
-M = BANDS * ROWS
+M = 252
+#: Registers of a band that divide ``M``, the most first.
+ROWS = (7, 6, 4, 3, 2, 1)
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: The bits of a band value that tell the band.
 LOW = 63
@@ -51,11 +52,17 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    """A value for each band of each sketch: 58 bits of a hash, then the band."""
-    x = sketch.astype(U).reshape(len(sketch), BANDS, ROWS)
-    factors = mixed(np.arange(1, ROWS + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
-    return (mixed((x * factors).sum(axis=2, dtype=U)) & ~U(LOW) | np.arange(BANDS, dtype=U)).view(np.int64)
+def rows_of_a_band(similarity: float, miss: float = 1e-5) -> int:
+    """The most registers with which sets of the similarity share a band but for a probability of ``miss``."""
+    return next((r for r in ROWS if (1 - similarity**r) ** (M // r) <= miss), 1)
+
+
+def bands(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """A value for each band of each sketch: 58 bits of a hash, then the band's."""
+    x = sketch.astype(U).reshape(len(sketch), -1, rows)
+    factors = mixed(np.arange(1, rows + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
+    number = np.arange(M // rows, dtype=U)
+    return (mixed((x * factors).sum(axis=2, dtype=U) + (number >> U(6))) & ~U(LOW) | number & U(LOW)).view(np.int64)
 
 
 def at_least(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:

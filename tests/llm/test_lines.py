@@ -12,16 +12,17 @@ def masked(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
 
 
-def brute(rows, documents=3, depth=3, short=32, least=3, similar=0.8):
-    """Line numbers to drop for each doc_id, one line after another."""
+def brute(rows, documents=3, depth=3, least=3, similar=0.8, leaders=None):
+    """Line numbers to drop for each row, one line after another."""
+    leaders = leaders or {}
     found = {}
     for doc, text in rows:
-        for line in {masked(x) for x in (text or "").split("\n")}:
+        for line in {masked(x) for x in (text or "").split("\n")} if doc not in leaders else ():
             if len(line) >= least and 2 * line.count("<*>") <= len(line):
                 found.setdefault(line, []).append(doc)
     leaves = {}
     for line, docs in found.items():
-        leaves.setdefault((len(line), line[:depth]) if len(line) <= short else line, []).append((line, docs))
+        leaves.setdefault((len(line), line[:depth]), []).append((line, docs))
     first = {}
     for members in leaves.values():
         groups = []  # [fixed places, lines, documents]
@@ -35,10 +36,10 @@ def brute(rows, documents=3, depth=3, short=32, least=3, similar=0.8):
             else:
                 groups.append([dict(enumerate(line)), [line], list(docs)])
         for _, lines, docs in groups:
-            if len(docs) >= documents and any(d is not None for d in docs):
+            if len(docs) >= (documents if len(lines[0]) < 50 else 2) and any(d is not None for d in docs):
                 for line in lines:
                     first[line] = min(d for d in docs if d is not None)
-    return [(doc, [i for i, x in enumerate((text or "").split("\n")) if masked(x) in first and doc is not None and first[masked(x)] != doc]) for doc, text in rows]
+    return [(doc, [i for i, x in enumerate((text or "").split("\n")) if masked(x) in first and first[masked(x)] != leaders.get(doc, doc)]) for doc, text in rows]
 
 
 def test_recurring_lines_go_from_all_but_the_first_document(spark, tmp_path):
@@ -69,13 +70,45 @@ def test_recurring_lines_go_from_all_but_the_first_document(spark, tmp_path):
     assert lt.drop_recurring(read.limit(0)).count() == 0
 
 
-def test_crowded_leaves_are_split(spark):
-    rows = [(i, f"alpha beta gamma {w} one two three four five six") for i, w in enumerate("abcdefghijklmnop")]
-    docs = spark.createDataFrame(rows * 1, "doc_id long, text string")
-    whole = {r["doc_id"]: r["n_dropped"] for r in lt.drop_recurring(docs).collect()}
-    assert whole == {i: int(i > 0) for i in range(16)}
-    lines = lt.materialize(lt.parsed(docs))
-    assert lt.recurring(lines, crowd=4).count() <= 16
+def test_verdicts_do_not_depend_on_what_else_is_in_the_leaf(spark):
+    """Six lines of which 14 of 15 tokens are equal, among as many others of their leaf."""
+    r = random.Random(9)
+    alike = [(i, f"alpha beta gamma one two three four five {w} six seven eight nine ten eleven") for i, w in enumerate("uvwxyz")]
+    for others in (50, 2500):
+        rest = [(100 + i, "alpha beta gamma " + " ".join(r.choice("abcdefghijklmnopqrst") * 2 for _ in range(12))) for i in range(others)]
+        docs = spark.createDataFrame(alike + rest, "doc_id long, text string")
+        got = [(x["doc_id"], x["n_dropped"]) for x in lt.drop_recurring(docs).collect()]
+        assert sorted(d for d, n in got if n) == [1, 2, 3, 4, 5]
+        want = [d for d, gone in brute(alike + rest) if gone]
+        assert want == [1, 2, 3, 4, 5]
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    often = "this line stands in many documents"
+    nine = [(9, f"{often}\nalpha beta gamma delta\n{often}"), (9, f"keep this line always please\n{often}\nother words stand here now"), (9, "nothing of this recurs anywhere")]
+    docs = [(i, often) for i in range(3)] + [(None, f"no id has this\n{often}"), (None, "no id has that")]
+    got = sorted((x["doc_id"] or 0, x["row"]["text"]) for x in lt.drop_recurring(spark.createDataFrame(nine + docs, "doc_id long, text string")).collect())
+    assert got == sorted([(9, "alpha beta gamma delta"), (9, "keep this line always please\nother words stand here now"), (9, nine[2][1]), (0, often), (1, ""), (2, ""), (0, "no id has this"), (0, "no id has that")])
+
+
+def test_two_documents_make_long_lines_recurring(spark):
+    word = lambda i: f"{'abcdefghij'[i % 10]}{'klmnopq'[i // 10 % 7]}"
+    long_, edited = [word(i) for i in range(60)], [word(i) if i % 12 else f"x{word(i)}" for i in range(60)]
+    short = "a short line stays in two"
+    rows = [(i, f"its own {i}\n{' '.join([*long_[:3], *t[3:]])}\n{short}") for i, t in enumerate([long_, edited])]
+    got = {x["doc_id"]: x["row"]["text"] for x in lt.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: f"its own 1\n{short}"}
+
+
+def test_copies_of_a_document_are_left_whole(spark):
+    shared = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopq'[i // 10]}" for i in range(60))
+    own = [prose(i, 150).replace("1", "i") for i in range(3)]
+    rows = [(1, f"{own[0]}\n{shared}"), (2, f"{own[1]} {shared}"), (3, f"{own[1]} {shared} end"), (4, f"{own[1]} {shared}"), (5, own[2]), (6, own[2] + " changed"), (7, own[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["row"]["text"] for x in lt.drop_recurring(docs, copies=80).collect()}
+    assert got == dict(rows) | {2: own[1], 3: f"{own[1]} end", 4: own[1]}
+    every = {x["doc_id"]: x["row"]["text"] for x in lt.drop_recurring(docs).collect()}
+    assert every == dict(rows) | {2: own[1], 3: "end", 4: "", 6: "changed", 7: ""}
 
 
 def test_templates_do_not_depend_on_how_leaves_are_dealt(spark):
@@ -92,6 +125,7 @@ def test_templates_do_not_depend_on_how_leaves_are_dealt(spark):
 
 def test_long_lines_share_templates(spark):
     shared = [f"w{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(45)]
+    # 46 words are too few for a passage
     rows = [(i, " ".join([*shared[:30], name, *shared[30:]]) + f"\n{name} alone") for i, name in enumerate(["ann", "bob", "cy", "dee"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: (x["n_dropped"], x["row"]["text"]) for x in lt.drop_recurring(docs).collect()}

@@ -90,3 +90,19 @@ def test_classes_links_and_components_equal_brute_force(spark, tmp_path):
     for block in (1000, 4):
         assert sorted(map(tuple, nd.near_duplicates(docs, block=block).collect()), key=str) == want
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(3)
+    text = [" ".join(r.choice("abcdefgh") + r.choice("ijklmnop") for _ in range(60)) for _ in range(5)]
+    rows = [(5, text[0]), (5, text[0]), (6, text[0]), (None, text[0] + " end"), (None, text[1]), (None, text[1]), (None, text[1] + " end"), (8, text[2]), (8, text[3]), (3, text[3] + " end"), (9, None), (9, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, mark string, known int")
+    left = nd.one_of_each(docs, 80)
+    assert left.columns == docs.columns
+    got = [(x["doc_id"], x["text"]) for x in left.collect()]
+    assert [t for d, t in got if d == 5] == [text[0]]
+    assert len([t for d, t in got if d is None and (t or "").startswith(text[1])]) == 1
+    assert [(d, t) for d, t in got if d in (3, 8)] in ([(8, text[2]), (3, rows[9][1])], [(3, rows[9][1]), (8, text[2])])
+    comps = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in nd.near_duplicates(docs, 80).filter("doc_id IN (3, 5, 6, 8)").collect())
+    assert comps == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (8, 3, False), (8, 8, True)]
+    assert len([t for _, t in got if not (t or "").strip()]) == 3

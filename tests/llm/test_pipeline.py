@@ -14,7 +14,7 @@ from .test_quality import brute as brute_counts
 def test_stages_equal_brute_force_one_after_another(spark, tmp_path):
     base = prose(1, 120)
     shared = prose(2, 60).replace("1", "i")
-    extra = [(2000 + i, "\n".join([prose(900 + i, 70), shared, prose(9000 + i, 40)])) for i in range(8)]
+    extra = [(2000 + i, "\n".join([prose(900 + i, 70), shared, prose(9000 + i, 40)])) for i in range(8)] + [(2500, shared)]
     extra += [(3000 + i, prose(60, 300) + f" end{i}") for i in range(2)] + [(4000 + i, base) for i in range(4)]
     extra += [(5000 + i, " ".join(w + "$$$" for w in prose(500 + i, 80).split())) for i in range(40)]
     docs = documents(spark, extra)
@@ -33,13 +33,15 @@ def test_stages_equal_brute_force_one_after_another(spark, tmp_path):
     assert {d for d, _ in passed} - {d for d, _ in quality} <= {d for d in range(5000, 5100)}
     assert not {d for d, _ in quality if d and d >= 5000}
     want = []
-    for (d, t), (_, gone) in zip(quality, brute_lines(quality)):
+    leaders = {d: c for d, _, c, _ in brute_near(quality, 80) if d is not None and c != d}
+    assert len(leaders) > 3
+    for (d, t), (_, gone) in zip(quality, brute_lines(quality, leaders=leaders)):
         left = [x for i, x in enumerate((t or "").split("\n")) if i not in gone]
         if not gone or any(x.strip() for x in left):
             want.append((d, "\n".join(left) if gone else t))
     assert sorted(lines, key=str) == sorted(want, key=str) and len(want) < len(quality)
-    stay = {d for d, _, c, kept in brute_near(lines) if kept}
-    assert sorted(near, key=str) == sorted([(d, t) for d, t in lines if d in stay], key=str) and len(near) < len(lines)
+    stay = {d for d, _, c, kept in brute_near(lines, 80) if kept}
+    assert sorted(near, key=str) == sorted({(d, t) for d, t in lines if d in stay}, key=str) and len(near) < len(lines)
     assert set(mixed) <= set(near) and len(mixed) > len(near)
     encoder = Encoder()
     ids = {}
