@@ -12,7 +12,7 @@ from ..functions.scalars import clip, ratio
 from .windows import Series, missing_run
 
 #: Nominal depths of layers 1 to 8; deeper layers lie at ten times their number.
-DEPTHS = {1: 4.18, 2: 6.12, 3: 9.67, 4: 14.12, 5: 19.15, 6: 30.21, 7: 49.05, 8: 49.35}
+DEPTHS = {1: 4.18, 2: 6.87, 3: 9.83, 4: 14.87, 5: 19.15, 6: 30.21, 7: 49.05, 8: 49.35}
 
 
 @dataclass(frozen=True)

@@ -65,7 +65,7 @@ def boundary_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vertical_interp", f"""WITH {BOUNDS_SQL}, {SHAPE_SQL}, {REBUILT_SQL},
 t AS (SELECT p.l_orderkey, p.layer, p.l_partkey, p.l_suppkey, p.temp, surf_val AS s, bot_val AS b, coalesce(deep_6, bot_val) AS d6,
-  CASE p.layer WHEN 2 THEN 6.12::DOUBLE WHEN 3 THEN 9.67::DOUBLE ELSE 14.12::DOUBLE END AS depth FROM p JOIN u USING (l_orderkey) WHERE p.layer IN (2, 3, 4)),
+  CASE p.layer WHEN 2 THEN 6.87::DOUBLE WHEN 3 THEN 9.83::DOUBLE ELSE 14.87::DOUBLE END AS depth FROM p JOIN u USING (l_orderkey) WHERE p.layer IN (2, 3, 4)),
 v AS (SELECT *, least(1, greatest(0, (depth - 4.18::DOUBLE) / 14.97::DOUBLE)) AS r FROM t)
 SELECT l_orderkey, layer, l_partkey, l_suppkey, temp, round(s + r * (b - s), 6) AS interp, round((s - b) / 14.97::DOUBLE, 6) AS gradient, round(greatest(s - b, 0), 6) AS stratification, round(4 * r * (1 - r), 6) AS curvature_weight,
   round(s + r * (b - s) - greatest(s - b, 0) * 0.3::DOUBLE * (4 * r * (1 - r)), 6) AS curved_estimate, round((b - d6) / 11.06::DOUBLE - (s - b) / 14.97::DOUBLE, 6) AS sharpness FROM v""")
@@ -115,7 +115,7 @@ def boundary_history(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_orderkey", "s_lag1", "s_lag2", "s_lag6", F.round("s_roll_mean_6", 8).alias("s_roll_mean_6"), F.round("s_roll_std_6", 6).alias("s_roll_std_6"))
 
 
-@query("nominal_depth", f"WITH {PROFILES_SQL}, k AS (SELECT layer, quantile_cont(l_extendedprice, 0.5) AS d FROM p WHERE layer IN (1, 2, 3) GROUP BY 1) SELECT n AS layer, round(coalesce(d, CASE n WHEN 4 THEN 14.12 WHEN 5 THEN 19.15 WHEN 6 THEN 30.21 WHEN 7 THEN 49.05 WHEN 8 THEN 49.35 ELSE n * 10.0 END::DOUBLE), 6) AS depth FROM (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS n) LEFT JOIN k ON k.layer = n")
+@query("nominal_depth", f"WITH {PROFILES_SQL}, k AS (SELECT layer, quantile_cont(l_extendedprice, 0.5) AS d FROM p WHERE layer IN (1, 2, 3) GROUP BY 1) SELECT n AS layer, round(coalesce(d, CASE n WHEN 4 THEN 14.87 WHEN 5 THEN 19.15 WHEN 6 THEN 30.21 WHEN 7 THEN 49.05 WHEN 8 THEN 49.35 ELSE n * 10.0 END::DOUBLE), 6) AS depth FROM (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS n) LEFT JOIN k ON k.layer = n")
 def nominal_depth(spark: SparkSession, d: str) -> DataFrame:
     x = profiles(spark, d).filter("layer <= 3")
     p = pr.Profile(layer="layer", depths=pr.nominal_depths(x, PROFILE, "l_extendedprice"))

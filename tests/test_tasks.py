@@ -38,7 +38,7 @@ def test_reconstruction_beats_the_straight_line(spark, tmp_path):
         month, day = 6 + k // 100, k % 28 + 1
         top, bottom = 22 + 3 * math.sin(k / 20) + noisy(k, 1), 12 + 2 * math.cos(k / 35) + noisy(k, 2)
         t = f"2024-{month:02d}-{day:02d} {k % 24:02d}:{k % 6 * 10:02d}:00"
-        for layer, depth in ((1, 4.18), (2, 6.12), (3, 9.67), (4, 14.12), (5, 19.15), (6, 30.21)):
+        for layer, depth in ((1, 4.18), (2, 6.87), (3, 9.83), (4, 14.87), (5, 19.15), (6, 30.21)):
             r = min((depth - 4.18) / 14.97, 1.0)
             v = top + r * (bottom - top) - 2.0 * r * (1 - r) * 4 if layer < 6 else bottom - 2 + noisy(k, 3)
             if not (layer == 5 and k % 10 == 3):
