@@ -180,3 +180,13 @@ def persistence(latest_value: Column, default: float = 1.5) -> Column:
 def case_id(station: Column, at: Column) -> Column:
     """H_STATION_yyyyMMddHHmm, with underscores for hyphens; ``at`` is in minutes."""
     return F.concat(F.lit("H_"), F.replace(station.cast("string"), F.lit("-"), F.lit("_")), F.lit("_"), F.date_format(F.timestamp_seconds(at * 60), "yyyyMMddHHmm"))
+
+
+def check_persistence(cases: DataFrame, official: DataFrame, key: str = "case_id", value: str = "persistence", given: str = "hs_pred") -> dict:
+    """Rows and the largest difference; raises if an official row differs from its case's persistence or has none."""
+    x = official.select(key, F.col(given).cast("double").alias("_o")).join(cases.select(key, F.col(value).cast("double").alias("_c")), key, "left")
+    off = F.abs(F.col("_o") - F.col("_c"))
+    row = x.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(~F.col("_o").eqNullSafe(F.col("_c"))).alias("mismatch_rows"), F.coalesce(F.max(off), F.lit(0.0)).alias("max_absolute_difference")).first().asDict()
+    if row["mismatch_rows"]:
+        raise RuntimeError(f"{row['mismatch_rows']} of {row['total_rows']} rows aren't persistence (largest difference {row['max_absolute_difference']})")
+    return row

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
+from . import order
 
 
 def quantile_threshold(df: DataFrame, score: str, rate: float) -> DataFrame:
     """The score that the highest ``rate`` of rows reach (linear interpolation), as one row."""
-    return df.agg(F.percentile(score, 1.0 - rate).alias("threshold"))
+    return order.percentiles(df, score, {"threshold": 1.0 - rate})
 
 
 def flagged(df: DataFrame, score: str, rate: float, name: str = "pred") -> DataFrame:
@@ -39,11 +39,11 @@ def classification(df: DataFrame, label: str, pred: str) -> DataFrame:
 def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
     """ROC-AUC and average precision, null unless both classes occur.
 
-    Rows are first counted by distinct score, so what is sorted as a whole is a table of scores.
+    Rows are first counted by distinct score, and scores are put in order slice by slice.
     """
     g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).cast("double").alias("_p"), F.count_if(F.col(label) == 0).cast("double").alias("_n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumns({"_cp": F.sum("_p").over(down), "_cn": F.sum("_n").over(down)})
+    g = order.ahead(g, score, {"_bp": "_p", "_bn": "_n"}, down=True)
+    g = g.withColumns({"_cp": F.col("_bp") + F.col("_p"), "_cn": F.col("_bn") + F.col("_n")})
     x = g.agg(F.sum("_p").alias("np"), F.sum("_n").alias("nn"), F.sum(F.col("_n") * (F.col("_cp") - F.col("_p") / 2.0)).alias("won"), F.sum(F.col("_p") * F.col("_cp") / (F.col("_cp") + F.col("_cn"))).alias("area"))
     both = (F.col("np") > 0) & (F.col("nn") > 0)
     return x.select(F.when(both, ratio(F.col("won"), F.col("np") * F.col("nn"))).alias("roc_auc"), F.when(both, ratio(F.col("area"), F.col("np"))).alias("average_precision"))
@@ -92,6 +92,21 @@ def filled(df: DataFrame, pred: str, default: float = 15.0, low: float | None =
     return df.crossJoin(F.broadcast(mean)).withColumn(pred, clip(F.coalesce(pred, "_mean", F.lit(default)), low, high)).drop("_mean")
 
 
+def verdict(a: DataFrame, b: DataFrame, keys: list[str], value: str, kind: str, limit: float) -> DataFrame:
+    """One row: rows, differing, score (share of labels that differ, or RMSE), and whether it is within the limit.
+
+    Tables with other keys are never within it.
+    """
+    if kind not in ("labels", "rmse"):
+        raise ValueError(f"unknown kind {kind}")
+    x = a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_ia")).join(b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_ib")), keys, "full")
+    other = ~F.col("_a").eqNullSafe(F.col("_b"))
+    d = F.col("_a").cast("double") - F.col("_b").cast("double")
+    score = F.avg(other.cast("double")) if kind == "labels" else F.sqrt(F.avg(d * d))
+    y = x.agg(F.count(F.lit(1)).alias("rows"), F.count_if(other).alias("differing"), F.coalesce(score, F.lit(0.0)).alias("score"), F.count_if(F.col("_ia").isNull() | F.col("_ib").isNull()).alias("_odd"))
+    return y.select("rows", "differing", "score", ((F.col("_odd") == 0) & (F.col("score") <= limit)).alias("within"))
+
+
 def reconciled(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
     """Rows only in one table, rows that differ, the largest and the root mean square difference."""
     x = a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_ia")).join(b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_ib")), keys, "full")

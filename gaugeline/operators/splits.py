@@ -3,48 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform
+from . import order
 from .grid import purged, separated, strided
 from .windows import Series
 
 
-def by_row_count(df: DataFrame, order: list[str], test: float = 0.2, slices: int = 1000) -> DataFrame:
+def by_row_count(df: DataFrame, by: list[str], test: float = 0.2) -> DataFrame:
     """Adds ``part``: the last share of rows in an order without ties is "valid".
 
-    The cut is at row int(n * (1 - test)).  Ranks are needed around the cut only: counts of slices of
-    the first order column find the slice it is in, and that slice alone is sorted.
+    The cut is at row int(n * (1 - test)); only that row's key is looked for, and no rows are ranked.
     """
     n = df.count()
     cut = int(n * (1 - test))
-    time = order[0]
-    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
-    if n == 0 or ends["a"] is None:
+    if n == 0:
         return df.withColumn("part", F.lit("train"))
-    number = F.unix_micros(F.col(time).cast("timestamp")).cast("double") if dict(df.dtypes)[time].startswith("timestamp") else F.col(time).cast("double")
-    low, high = df.agg(F.min(number), F.max(number)).first()
-    slice_ = F.coalesce(F.floor((number - low) / max((high - low) / slices, 1e-9)).cast("long"), F.lit(-1).cast("long"))
-    before, at = 0, 0
-    for r in sorted(df.groupBy(slice_.alias("s")).count().collect()):  # `slices` rows
-        at = r["s"]
-        if before + r["count"] > cut:
-            break
-        before += r["count"]
-    edge = df.filter(slice_ == at).select(*order).withColumn("_r", F.row_number().over(W.orderBy(*order)))
-    last = edge.filter(F.col("_r") == cut - before).select(F.struct(*order).alias("_last"))
-    last = last.first()
-    inside = (slice_ < at) if last is None else (slice_ < at) | ((slice_ == at) & (F.struct(*order) <= F.struct(*[F.lit(last["_last"][c]).cast(dict(df.dtypes)[c]) for c in order])))
-    return df.withColumn("part", F.when(inside, "train").otherwise("valid"))
+    if cut == 0:
+        return df.withColumn("part", F.lit("valid"))
+    kinds = dict(df.dtypes)
+    last = F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, order.nth(df, by, cut))])
+    return df.withColumn("part", F.when(F.struct(*by) <= last, "train").otherwise("valid"))
 
 
 def nth_time(df: DataFrame, time: str, test: float = 0.2) -> DataFrame:
     """The distinct time at which the last share of times begins, as one row ``cut``."""
-    times = df.select(time).distinct()
-    ranked = times.withColumn("_r", F.row_number().over(W.orderBy(time)))  # a row per distinct time
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.crossJoin(F.broadcast(n)).filter(F.col("_r") == F.floor(F.col("_n") * (1 - test)) + 1).select(F.col(time).alias("cut"))
+    times = df.select(time).distinct().withColumn("_one", F.lit(1).cast("long"))
+    n = times.agg(F.count(F.lit(1)).alias("_n"))
+    return order.ahead(times, time, {"_at": "_one"}).crossJoin(F.broadcast(n)).filter(F.col("_at") == F.floor(F.col("_n") * (1 - test))).select(F.col(time).alias("cut"))
 
 
 def by_distinct_time(df: DataFrame, time: str, test: float = 0.2) -> DataFrame:
@@ -64,6 +51,23 @@ def random_mask(rate: float, seed: int, *keys: str) -> Column:
     return hash_uniform(seed, *keys) < rate
 
 
+def simulated(df: DataFrame, station, first: str, last: str, layers: list[int], hidden: tuple[str, ...] = ("temp", "psal"), truth: str = "temp", time: str = "time", key: str = "station", layer: str = "layer", test: float = 0.2) -> DataFrame:
+    """Adds ``part``, ``is_masked`` and ``truth``: a period of one station, its layers hidden, is "valid".
+
+    A station that never occurs means all of them; a period without rows means the latest share of
+    distinct times, of all stations.
+    """
+    kind = dict(df.dtypes)[time]
+    where = F.col(time).between(F.lit(first).cast(kind), F.lit(last).cast(kind))
+    if not df.filter(F.col(key) == station).isEmpty():
+        where = where & (F.col(key) == station)
+    if df.filter(where).isEmpty():
+        x = by_distinct_time(df, time, test)
+    else:
+        x = df.withColumn("part", F.when(where, "valid").otherwise("train"))
+    return masked(x, (F.col("part") == "valid") & F.col(layer).isin(layers), [c for c in hidden if c in df.columns], truth)
+
+
 def season_slices(df: DataFrame, time: str, windows: list[tuple[str, str, str]], least: int, evaluable: Column) -> DataFrame:
     """Rows of closed, named windows that have more than ``least`` rows to be evaluated."""
     spark = df.sparkSession

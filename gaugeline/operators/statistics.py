@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from . import order
 
 FLOOR = 1e-10
 
@@ -13,14 +14,27 @@ FLOOR = 1e-10
 def robust(df: DataFrame, columns: list[str], keys: list[str] = (), floor: float = FLOOR) -> DataFrame:
     """Per key and column: mean, std, median, mad, q25, q75; spreads have a floor.
 
-    Two passes of grouped aggregation, as the distances need the medians.
+    Two passes of grouped aggregation, as the distances need the medians.  Without keys, quantiles are
+    looked for in the order of all rows (``order.percentiles``), as one buffer can't hold a table's values.
     """
+    if not keys:
+        return _robust_of_all(df, columns, floor)
     first = [e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), F.greatest(F.stddev_samp(c), F.lit(floor)).alias(f"{c}_std"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}_q"))]
     q = df.groupBy(*keys).agg(*first)
     q = q.select(*keys, *[e for c in columns for e in (F.col(f"{c}_mean"), F.col(f"{c}_std"), F.get(f"{c}_q", F.lit(0)).alias(f"{c}_q25"), F.get(f"{c}_q", F.lit(1)).alias(f"{c}_median"), F.get(f"{c}_q", F.lit(2)).alias(f"{c}_q75"))])
-    known = df.join(q, list(keys)) if keys else df.crossJoin(F.broadcast(q))  # without keys, q is one row
-    mads = known.groupBy(*keys).agg(*[F.greatest(F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), 0.5), F.lit(floor)).alias(f"{c}_mad") for c in columns])
-    return q.join(mads, list(keys)) if keys else q.crossJoin(F.broadcast(mads))
+    mads = df.join(q, list(keys)).groupBy(*keys).agg(*[F.greatest(F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), 0.5), F.lit(floor)).alias(f"{c}_mad") for c in columns])
+    return q.join(mads, list(keys))
+
+
+def _robust_of_all(df: DataFrame, columns: list[str], floor: float) -> DataFrame:
+    """One row; all tables joined here are one row."""
+    out = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), F.greatest(F.stddev_samp(c), F.lit(floor)).alias(f"{c}_std"))])
+    for c in columns:
+        q = order.percentiles(df, c, {f"{c}_q25": 0.25, f"{c}_median": 0.5, f"{c}_q75": 0.75})
+        off = df.select(c).crossJoin(F.broadcast(q.select(f"{c}_median"))).select(F.abs(F.col(c) - F.col(f"{c}_median")).alias("_off"))
+        mad = order.percentiles(off, "_off", {"_mad": 0.5}).select(F.greatest("_mad", F.lit(floor)).alias(f"{c}_mad"))
+        out = out.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(mad))
+    return out
 
 
 def robust_scores(df: DataFrame, fitted: DataFrame, c: str, keys: list[str] = ()) -> DataFrame:
@@ -59,8 +73,13 @@ def fallback(df: DataFrame, fitted: list[DataFrame], grains: list[list[str]], na
 
 def imputation(train: DataFrame, numbers: list[str], categories: list[str], how: str = "median") -> dict:
     """Fitted replacements: median or mean, and the smallest most frequent category or "missing"."""
-    number = (lambda c: F.percentile(c, 0.5)) if how == "median" else F.avg
-    row = train.agg(*[number(c).alias(c) for c in numbers], *[F.mode(c, True).alias(c) for c in categories]).first()
+    if how == "median":
+        row = {c: order.percentiles(train, c, {c: 0.5}).first()[c] for c in numbers}
+    else:
+        row = train.agg(*[F.avg(c).alias(c) for c in numbers]).first().asDict() if numbers else {}
+    for c in categories:
+        most = train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).first()
+        row[c] = most and most[c]
     return {c: row[c] if row[c] is not None else ("missing" if c in categories else 0.0) for c in [*numbers, *categories]}
 
 

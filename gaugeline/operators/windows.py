@@ -155,19 +155,10 @@ def ema(df: DataFrame, s: Series, c: str, spans) -> DataFrame:
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + "".join(f", `{c}_ema_{w}` double, `{c}_ema_diff_{w}` double" for w in spans)
 
     def smooth(frame):
-        import numpy as np
-
         frame = frame.sort_values(list(s.order), kind="stable")
-        x = frame[c].to_numpy(dtype=float)
-        x = np.concatenate([[np.nan], x[:-1]])
+        x = frame[c].astype(float).shift(1)
         for w in spans:
-            keep_, top, below, out = 1 - 2 / (w + 1), 0.0, 0.0, np.full(len(x), np.nan)
-            for i, v in enumerate(x.tolist()):
-                top, below = top * keep_, below * keep_
-                if v == v:
-                    top, below = top + v, below + 1.0
-                if below > 0:
-                    out[i] = top / below
+            out = x.ewm(span=w, adjust=True, ignore_na=False).mean()
             frame[f"{c}_ema_{w}"], frame[f"{c}_ema_diff_{w}"] = out, x - out
         return frame
 
@@ -175,8 +166,11 @@ def ema(df: DataFrame, s: Series, c: str, spans) -> DataFrame:
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for w in spans for n in (f"{c}_ema_{w}", f"{c}_ema_diff_{w}")})
 
 
-def percent_rank(x: str, keys: tuple[str, ...] = ()) -> Column:
-    """The average rank of ties over the number of values, unlike PERCENT_RANK."""
+def percent_rank(x: str, keys: tuple[str, ...]) -> Column:
+    """The average rank of ties over the number of values of a group, unlike PERCENT_RANK.
+
+    For all rows of a table there is ``order.shares``.
+    """
     every = W.partitionBy(*keys)
     peers = F.count(F.lit(1)).over(W.partitionBy(*keys, x))
     return (F.rank().over(every.orderBy(x)) + (peers - 1) / 2.0) / F.count(x).over(every)
@@ -192,6 +186,14 @@ def sequences(df: DataFrame, s: Series, columns: list[str], length: int, stride:
     return full.filter(whole & ((F.col("_n") - length) % stride == 0)).drop("_n")
 
 
+def channels(df: DataFrame, s: Series, value: str, deviation: str, length: int = 128, stride: int = 4) -> DataFrame:
+    """The three channels of a sequence scorer: value and deviation less their medians, and steps, the first being 0."""
+    x = sequences(df, s, [value, deviation], length, stride)
+    v = F.col(f"{value}_seq")
+    steps = F.transform(v, lambda e, i: F.abs(e - F.get(v, F.greatest(i - 1, F.lit(0)))))
+    return x.withColumns({f"{value}_centred": centred(v), f"{deviation}_centred": centred(F.col(f"{deviation}_seq")), f"{value}_steps": steps}).drop(f"{value}_seq", f"{deviation}_seq")
+
+
 def centred(array: Column) -> Column:
     """An array less its median."""
     n = F.size(array)

@@ -9,10 +9,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform
+from ..sources import readers, writers
 
 
 def feature_columns(df: DataFrame, drop: list[str], *others: DataFrame) -> list[str]:
@@ -65,14 +66,30 @@ class Boosted:
         return x.select(*[c for c in keep if c != name], (sum(parts, F.lit(0.0)) / len(parts)).alias(name))
 
     def save(self, path: str) -> None:
+        """The models, their schema, and a manifest of the files' hashes."""
+        spark = SparkSession.active()
         for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/seed-{i}")
+            m.write().overwrite().save(f"{path}/models/seed-{i}")
+        writers.record(spark, f"{path}/schema.json", {"features": self.features, "target": self.target, "task": self.task, "seeds": list(self.seeds)})
+        writers.record(spark, f"{path}/manifest.json", {r["name"]: r["sha256"] for r in readers.file_hashes(spark, f"{path}/models", "part-*").collect()})
 
     def load(self, path: str) -> "Boosted":
-        self.models = [PipelineModel.load(f"{path}/seed-{i}") for i in range(len(self.seeds))]
+        """Raises if a file is missing or changed, or if the models were made for another target or task."""
+        spark = SparkSession.active()
+        schema, manifest = readers.record(spark, f"{path}/schema.json"), readers.record(spark, f"{path}/manifest.json")
+        if changed := readers.verified(spark, f"{path}/models", manifest):
+            raise ValueError(f"{path}: missing or changed files: {changed}")
+        if (schema["target"], schema["task"]) != (self.target, self.task):
+            raise ValueError(f"{path} holds a {schema['task']} model of {schema['target']}")
+        self.features, self.seeds = schema["features"], tuple(schema["seeds"])
+        self.models = [PipelineModel.load(f"{path}/models/seed-{i}") for i in range(len(self.seeds))]
         return self
 
 
+#: The most groups that get a model each.
+MOST_GROUPS = 200
+
+
 def residual(df: DataFrame, target: str, baseline: str, name: str = "_residual") -> DataFrame:
     return df.withColumn(name, F.col(target) - F.col(baseline))
 
@@ -81,7 +98,8 @@ def residual(df: DataFrame, target: str, baseline: str, name: str = "_residual")
 class Grouped:
     """A model per value of a column, or one for all; on the target or on what a baseline leaves.
 
-    Values not met in training get the model of all rows, which is fitted too.
+    Values not met in training, and null, get the model of all rows, which is fitted too.  A column of
+    more than ``MOST_GROUPS`` values raises: each is a model to be fitted.
     """
 
     features: list[str]
@@ -96,7 +114,12 @@ class Grouped:
     def fit(self, df: DataFrame) -> "Grouped":
         x = residual(df, self.target, self.baseline) if self.baseline else df.withColumn("_residual", F.col(self.target))
         make = lambda: Boosted(self.features, "_residual", "regression", self.weight, self.params, self.seeds)
-        values = [r[0] for r in x.select(self.group).distinct().limit(1000).collect()] if self.group else []
+        values = []
+        if self.group:
+            groups = x.select(self.group).filter(F.col(self.group).isNotNull()).distinct()
+            values = sorted(r[0] for r in groups.limit(MOST_GROUPS + 1).collect())
+            if len(values) > MOST_GROUPS:
+                raise ValueError(f"{self.group} has more than {MOST_GROUPS} values, which is the most that get a model each")
         self.models = {None: make().fit(x)} | {v: make().fit(x.filter(F.col(self.group) == v)) for v in values}
         return self
 
@@ -119,7 +142,11 @@ def out_of_fold(df: DataFrame, make, keys: list[str], folds: int = 5, seed: int
     return out.drop("_fold")
 
 
-def pseudo_labelled(train: DataFrame, scored: DataFrame, score: str, label: str, low: float, high: float) -> DataFrame:
-    """Training rows and confidently scored ones, which take the label their score speaks for."""
-    sure = scored.filter((F.col(score) <= low) | (F.col(score) >= high)).withColumn(label, (F.col(score) >= high).cast("int"))
+def pseudo_labelled(train: DataFrame, scored: DataFrame, score: str, label: str, low: float, high: float, also: Column | None = None) -> DataFrame:
+    """Training rows and confidently scored ones, which take the label their score speaks for.
+
+    ``also`` is what positives have to meet beside their score, such as a step's least size.
+    """
+    positive = F.col(score) >= high
+    sure = scored.filter((F.col(score) <= low) | (positive if also is None else positive & also)).withColumn(label, (F.col(score) >= high).cast("int"))
     return train.unionByName(sure.select(*[c for c in sure.columns if c in train.columns]), allowMissingColumns=True)

@@ -14,6 +14,7 @@ from ..operators import statistics as st
 from ..operators import windows as win
 from .grid_queries import ELIGIBLE_SQL, anchors
 from .inputs import BY_USER, GRID_SQL, READINGS_SQL, readings, rounded, table
+from .tracking import differing, following
 
 QUERIES, SQL = {}, {}
 
@@ -87,8 +88,7 @@ def first_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query("next_id", "SELECT 'EXP_20240101_' || lpad(CAST(max(CAST(regexp_extract('EXP_20240101_' || CAST(p_partkey AS VARCHAR), '^EXP_[0-9]{8}_([0-9]+)$', 1) AS INTEGER)) + 1 AS VARCHAR), 6, '0') AS next_id FROM part")
 def next_id(spark: SparkSession, d: str) -> DataFrame:
-    i = F.regexp_extract(F.concat(F.lit("EXP_20240101_"), "p_partkey"), r"^EXP_\d{8}_(\d+)$", 1).cast("int")
-    return table(spark, d, "part").agg(F.concat(F.lit("EXP_20240101_"), F.lpad((F.max(i) + 1).cast("string"), 6, "0")).alias("next_id"))
+    return following(table(spark, d, "part").select(F.concat(F.lit("EXP_20240101_"), "p_partkey").alias("id")), "id", "EXP_20240101_", 6)
 
 
 @query("time_parse", "WITH x AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'no time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN '+09:00' ELSE '' END END AS t FROM events) SELECT event_id, hour(TRY_CAST(regexp_replace(t, '[+]09:00$', '') AS TIMESTAMP)) AS hour, strftime(TRY_CAST(regexp_replace(t, '[+]09:00$', '') AS TIMESTAMP), '%Y%m%d%H%M') AS stamp FROM x WHERE TRY_CAST(regexp_replace(t, '[+]09:00$', '') AS TIMESTAMP) IS NOT NULL")
@@ -107,7 +107,40 @@ def text_hash(spark: SparkSession, d: str) -> DataFrame:
 @query("config_diff", "WITH a AS (SELECT p_brand AS k, CAST(count(*) AS VARCHAR) AS v FROM part WHERE p_size % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS k, CAST(count(*) AS VARCHAR) AS v FROM part WHERE p_size % 3 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS key, a.v AS \"left\", b.v AS \"right\" FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def config_diff(spark: SparkSession, d: str) -> DataFrame:
     side = lambda m, n: table(spark, d, "part").filter(F.col("p_size") % m == 0).groupBy(F.col("p_brand").alias("key")).agg(F.count(F.lit(1)).cast("string").alias(n))
-    return side(2, "left").join(side(3, "right"), "key", "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+    return differing(side(2, "left"), side(3, "right"))
+
+
+_HIDDEN_SQL = "SELECT event_id, CASE WHEN h THEN 'valid' ELSE 'train' END AS part, CASE WHEN NOT (h AND user_id % 8 IN (2, 3, 4)) THEN v END AS v, CASE WHEN h AND user_id % 8 IN (2, 3, 4) THEN v END AS truth FROM x"
+
+
+def _simulated(spark: SparkSession, d: str, station: str, first: str, last: str) -> DataFrame:
+    x = readings(spark, d).withColumn("layer", F.col("user_id") % 8)
+    return sp.simulated(x, station, first, last, [2, 3, 4], ("v",), "v", "ts", "event_type").select("event_id", "part", "v", "truth")
+
+
+@query("simulation_split", f"WITH {READINGS_SQL}, x AS (SELECT *, event_type = 'view' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-14' AS h FROM r) {_HIDDEN_SQL}")
+def simulation_split(spark: SparkSession, d: str) -> DataFrame:
+    return _simulated(spark, d, "view", "2024-01-10", "2024-01-14")
+
+
+@query("simulation_fallback", f"""WITH {READINGS_SQL}, t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM r)),
+x AS (SELECT r.*, r.ts >= (SELECT ts FROM t WHERE i = CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT) + 1) AS h FROM r) {_HIDDEN_SQL}""")
+def simulation_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Neither the station nor the period occurs."""
+    return _simulated(spark, d, "nowhere", "2030-01-01", "2030-02-01")
+
+
+@query("tolerance_verdict", """WITH l AS (SELECT CAST(o_totalprice > 150000 AS INTEGER) AS a, CAST(o_totalprice > 150500 AS INTEGER) AS b FROM orders), m AS (SELECT o_totalprice / 1000 AS a, o_totalprice / 1000 + (o_orderkey % 3 - 1) * 0.1::DOUBLE AS b FROM orders)
+SELECT 'labels' AS kind, count(*) AS n_rows, count(*) FILTER (a <> b) AS differing, round(avg(CASE WHEN a <> b THEN 1::DOUBLE ELSE 0 END), 8) AS score, avg(CASE WHEN a <> b THEN 1::DOUBLE ELSE 0 END) <= 0.01::DOUBLE AS within FROM l
+UNION ALL SELECT 'rmse', count(*), count(*) FILTER (a <> b), round(sqrt(avg((a - b) * (a - b))), 8), sqrt(avg((a - b) * (a - b))) <= 0.05::DOUBLE FROM m""")
+def tolerance_verdict(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    side = lambda e: o.select("o_orderkey", e.alias("y"))
+    price = F.col("o_totalprice")
+    labels = me.verdict(side((price > 150000).cast("int")), side((price > 150500).cast("int")), ["o_orderkey"], "y", "labels", 0.01)
+    values = me.verdict(side(price / 1000), side(price / 1000 + (F.col("o_orderkey") % 3 - 1) * 0.1), ["o_orderkey"], "y", "rmse", 0.05)
+    both = labels.withColumn("kind", F.lit("labels")).unionByName(values.withColumn("kind", F.lit("rmse")))
+    return rounded(both.withColumnRenamed("rows", "n_rows"))
 
 
 @query("multiclass_target", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE CASE trim(split_part(CASE WHEN event_id % 3 = 0 THEN event_type || '+view' ELSE event_type END, '+', 1)) WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END END AS target FROM events")

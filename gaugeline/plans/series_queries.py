@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import order
 from ..operators import statistics as st
 from ..operators import windows as win
 from .inputs import BY_TYPE, BY_USER, READINGS_SQL, readings, rounded, table
@@ -43,7 +44,7 @@ def flag_anomalies(spark: SparkSession, d: str) -> DataFrame:
     x = readings(spark, d).withColumn("resid", win.baseline_residual(BY_TYPE, "v", 48, 6))
     scale = st.group_scale(x, "resid", ["event_type"])
     z = x.filter("resid IS NOT NULL").join(F.broadcast(scale), "event_type").select("event_type", F.round(F.abs(F.col("resid") - F.col("centre")) / F.col("spread"), 8).alias("score"))
-    t = z.agg(F.percentile("score", 0.95).alias("thr"))
+    t = order.percentiles(z, "score", {"thr": 0.95})
     return z.crossJoin(F.broadcast(t)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= F.col("thr")).alias("n_flagged"), F.round(F.max("score"), 6).alias("max_score"))
 
 
@@ -145,7 +146,8 @@ SELECT event_id, round(a, 8) AS rank_v, round(b, 8) AS rank_flat, round(greatest
 def pct_rank_blend(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.metrics import rank_blend
 
-    x = readings(spark, d).filter("v IS NOT NULL").select("event_id", win.percent_rank("v").alias("rank_v"), win.percent_rank("flat").alias("rank_flat"))
+    x = readings(spark, d).filter("v IS NOT NULL").select("event_id", "v", "flat")
+    x = order.shares(order.shares(x, "v", "rank_v"), "flat", "rank_flat").drop("v", "flat")
     return rounded(x.withColumn("blended", rank_blend(F.col("rank_v"), F.col("rank_flat"), 0.3)))
 
 
@@ -157,6 +159,14 @@ def array_windows(spark: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", F.size("v_seq").alias("n_values"), F.get("v_seq", F.lit(0)).alias("first_value"), F.get("v_seq", F.lit(7)).alias("last_value"), F.round(back, 8).alias("middle"))
 
 
+@query("sequence_channels", f"""WITH {READINGS_SQL}, n AS (SELECT *, row_number() OVER w AS i, count(v) OVER f AS c, list(v) OVER f AS l, list(flat) OVER f AS g FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), f AS {frame(-7, 0)})
+SELECT event_id, round(l[1] - list_aggregate(l, 'median'), 8) AS v_first, round(g[8] - list_aggregate(g, 'median'), 8) AS flat_last, round(list_sum(list_transform(generate_series(2, 8), lambda k: abs(l[k] - l[k - 1]))), 6) AS steps FROM n WHERE i >= 8 AND c = 8 AND (i - 8) % 4 = 0""")
+def sequence_channels(spark: SparkSession, d: str) -> DataFrame:
+    x = win.channels(readings(spark, d), BY_USER, "v", "flat", 8, 4)
+    steps = F.aggregate("v_steps", F.lit(0.0), lambda a, e: a + e)
+    return x.select("event_id", F.round(F.get("v_centred", F.lit(0)), 8).alias("v_first"), F.round(F.get("flat_centred", F.lit(7)), 8).alias("flat_last"), F.round(steps, 6).alias("steps"))
+
+
 @query("robust_stats", f"""WITH {READINGS_SQL}, q AS (SELECT avg(v) AS m, greatest(stddev_samp(v), 1e-10) AS s, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q75 FROM r), d AS (SELECT greatest(quantile_cont(abs(v - med), 0.5), 1e-10) AS mad FROM r, q)
 SELECT event_id, round((v - m) / s, 6) AS v_zscore, round((v - med) / mad, 6) AS v_robust_zscore, CASE WHEN v < q25 - 1.5::DOUBLE * (q75 - q25) OR v > q75 + 1.5::DOUBLE * (q75 - q25) THEN 1 ELSE 0 END AS v_iqr_flag FROM r, q, d""")
 def robust_stats(spark: SparkSession, d: str) -> DataFrame:

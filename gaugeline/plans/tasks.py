@@ -170,6 +170,8 @@ class ForecastTask(Task):
     """Forecasts several leads of a gridded series from 48 hours of context, on top of persistence."""
 
     required = {"wave": ["station", "time", "hs"]}
+    #: One model of all leads, one a lead, or one a lead on what persistence leaves.
+    modes = ("unified", "per_horizon", "persistence_residual")
 
     def _grid(self) -> DataFrame:
         at = lambda df: df.withColumn("minute", gr.minute("time"))
@@ -200,11 +202,17 @@ class ForecastTask(Task):
             if "wspd" in ctx.columns:
                 rows = rows.join(sp.coverage_weights(ctx, ["station", "minute"], "wspd", w), ["station", "minute"])
                 weight = "weight"
-        self.models = {h: models.Grouped(columns, f"target_{h}h", None, "persistence", weight, self.config.get("model", {})).fit(rows.filter("part = 'train'")) for h in leads}
-        scored = None
-        for h, m in self.models.items():
-            p = m.predict(rows.filter("part = 'valid'"), "p").select("station", "minute", F.lit(h).alias("lead_h"), F.col(f"target_{h}h").alias("y"), "p", "persistence")
-            scored = p if scored is None else scored.unionByName(p)
+        mode = self.config.get("model_mode", "persistence_residual")
+        if mode not in self.modes:
+            raise ValueError(f"unknown model_mode {mode}; there are {self.modes}")
+        base = "persistence" if mode == "persistence_residual" or self.config.get("strategy") == "residual" else None
+        # a row per case and lead; a case's weight stands in each
+        target = F.coalesce(*[F.when(F.col("lead_h") == h, F.col(f"target_{h}h")) for h in leads])
+        long = self._leads(rows, leads).withColumn("y", target)
+        train = long.filter("part = 'train'")
+        make = lambda more, data: models.Grouped([*columns, *more], "y", None, base, weight, self.config.get("model", {})).fit(data)
+        self.models = {None: make(["lead_h"], train)} if mode == "unified" else {h: make([], train.filter(F.col("lead_h") == h)) for h in leads}
+        scored = self._forecast(long.filter("part = 'valid'"), "p").select("station", "minute", "lead_h", "y", sc.clip(F.col("p"), 0.0, None).alias("p"), "persistence")
         self.scores = me.forecast(scored, "y", "p", "persistence")
         pooled = self.scores.filter("lead_h IS NULL AND station IS NULL").first()
         self.metrics = {"rmse": pooled["rmse"] or 0.0, "persistence_rmse": pooled["persistence_rmse"] or 0.0}
@@ -215,8 +223,20 @@ class ForecastTask(Task):
             return self.scores
         x = contexts.withColumn("minute", F.col("case_id"))
         rows = WaveFeatures(("station", "minute")).transform(x).withColumn("persistence", gr.persistence(F.col("latest_hs")))
+        if (official := self.tables.get("baseline")) is not None:
+            gr.check_persistence(rows.select(F.col("minute").alias("case_id"), "persistence"), official)
+        out = self._forecast(self._leads(rows, tuple(self.config.get("leads", gr.LEADS))), "hs_pred")
+        return out.select(F.col("minute").alias("case_id"), "station", "lead_h", sc.clip(F.coalesce("hs_pred", "persistence"), 0.0, 30.0).alias("hs_pred"))
+
+    def _leads(self, rows: DataFrame, leads: tuple[int, ...]) -> DataFrame:
+        return rows.withColumn("lead_h", F.explode(F.array(*[F.lit(h) for h in leads])))
+
+    def _forecast(self, long: DataFrame, name: str) -> DataFrame:
+        """Each row's prediction, by the model of its lead or the one of all."""
+        if None in self.models:
+            return self.models[None].predict(long, name)
         out = None
         for h, m in self.models.items():
-            p = m.predict(rows, "hs_pred").select(F.col("minute").alias("case_id"), "station", F.lit(h).alias("lead_h"), sc.clip(F.coalesce("hs_pred", "persistence"), 0.0, 30.0).alias("hs_pred"))
+            p = m.predict(long.filter(F.col("lead_h") == h), name)
             out = p if out is None else out.unionByName(p)
         return out

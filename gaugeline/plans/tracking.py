@@ -35,9 +35,22 @@ def ranked(df: DataFrame, name: str = "metric_name", score: str = "score", tie:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(name).orderBy(signed(F.col(name), F.col(score)).asc_nulls_last(), tie)).cast("long"))
 
 
+def following(df: DataFrame, ids: str, prefix: str, width: int = 3) -> DataFrame:
+    """next_id: the prefix and one more than the largest number that follows it, as one row."""
+    found = F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("int")
+    return df.agg(F.concat(F.lit(prefix), F.format_string(f"%0{width}d", F.coalesce(F.max(found), F.lit(0)) + 1)).alias("next_id"))
+
+
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, left, right where two tables of (key, left) and (key, right) don't agree."""
+    return left.join(right, "key", "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
 class Tracker:
+    """Records below ``root``.  One run at a time is active between ``start`` and ``finish``."""
+
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.active = spark, root.rstrip("/"), None
 
     def all(self) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
@@ -47,29 +60,58 @@ class Tracker:
         return readers.records(self.spark, self.root, SCHEMA).filter("experiment_id IS NOT NULL")
 
     def next_id(self, today: dt.date | None = None) -> str:
-        prefix = f"EXP_{(today or dt.datetime.now(dt.timezone.utc).date()):%Y%m%d}_"
-        last = self.all().filter(F.col("experiment_id").startswith(prefix)).agg(F.max(F.regexp_extract("experiment_id", r"^EXP_\d{8}_(\d+)$", 1).try_cast("int"))).first()[0]
-        return f"{prefix}{(last or 0) + 1:03d}"
+        return following(self.all(), "experiment_id", f"EXP_{(today or dt.datetime.now(dt.timezone.utc).date()):%Y%m%d}_").first()[0]
 
     def save(self, record: dict) -> str:
-        record = {"experiment_id": record.get("experiment_id") or self.next_id(), "created_at": dt.datetime.now(dt.timezone.utc).isoformat(), **{k: v for k, v in record.items() if k != "experiment_id"}}
+        record = {"experiment_id": record.get("experiment_id") or self.next_id(), "created_at": record.get("created_at") or dt.datetime.now(dt.timezone.utc).isoformat(), **{k: v for k, v in record.items() if k not in ("experiment_id", "created_at")}}
         writers.record(self.spark, f"{self.root}/{record['experiment_id']}/metadata.json", record)
         return record["experiment_id"]
 
+    def start(self, task_type: str, dataset_name: str, model: str, **fields) -> str:
+        """A record without a metric yet; its id."""
+        if self.active:
+            raise RuntimeError(f"{self.active} is active; finish it first")
+        names = list(fields.get("feature_names") or [])
+        self.active = self.save({**fields, "task_type": task_type, "dataset_name": dataset_name, "model": model, "feature_names": names, "feature_count": len(names)})
+        self.save_leaderboard()
+        return self.active
+
+    def finish(self, metric_name: str, score: float, experiment_id: str | None = None, **fields) -> dict:
+        """The active run's record, or the named one's, with its metric and whatever else is given."""
+        at = experiment_id or self.active
+        if not at:
+            raise RuntimeError("no run is active")
+        record = self.load(at) | {k: v for k, v in fields.items() if v is not None}
+        record |= {"metric": {"metric_name": metric_name, "score": float(score)}, "feature_count": len(record.get("feature_names") or [])}
+        self.save(record)
+        writers.text(self.spark, f"{self.root}/{at}/report.md", "\n".join([f"# {at}", "", *[f"* {k}: {v}" for k, v in sorted(record.items()) if v is not None], ""]))
+        self.save_leaderboard()
+        self.active = None
+        return record
+
     def load(self, experiment_id: str) -> dict:
         rows = self.all().filter(F.col("experiment_id") == experiment_id).collect()
         if not rows:
             raise KeyError(experiment_id)
         return rows[0].asDict(recursive=True)
 
-    def find(self, **equal: str) -> DataFrame:
+    def find(self, metric: str | None = None, above: float | None = None, below: float | None = None, tags: tuple[str, ...] = (), **equal: str) -> DataFrame:
+        """Records by metric name, by score over or under a bound, by tags that all are there, and by equal columns."""
         out = self.all()
+        if metric is not None:
+            out = out.filter(F.col("metric.metric_name") == metric)
+        if above is not None:
+            out = out.filter(F.col("metric.score") > above)
+        if below is not None:
+            out = out.filter(F.col("metric.score") < below)
+        for tag in tags:
+            out = out.filter(F.array_contains("tags", tag))
         for column, value in equal.items():
             out = out.filter(F.col(column) == value)
         return out
 
     def best(self, metric: str | None = None) -> DataFrame:
-        x = self.all().select("*", "metric.*")
+        x = self.all().select("*", "metric.*").filter("score IS NOT NULL")
         x = x.filter(F.col("metric_name") == metric) if metric else x
         return ranked(x).filter("rank = 1").drop("rank", "metric_name", "score")
 
@@ -81,7 +123,12 @@ class Tracker:
         shown = F.concat_ws(":", "metric_name", F.col("score").cast("string"))
         return x.select(F.col("experiment_id").alias("Experiment"), shown.alias("Metric"), F.col("created_at").alias("Date"), F.col("model").alias("Model"), F.col("feature_preset").alias("Preset"), F.col("rank").alias("Rank"))
 
+    def save_leaderboard(self) -> None:
+        """One CSV file in the folder ``leaderboard``, best first."""
+        x = self.leaderboard()
+        writers.delivery(x, f"{self.root}/leaderboard", x.columns, ["Rank", "Experiment"])
+
     def compare(self, a: str, b: str) -> DataFrame:
         """key, left, right: settings and metrics in which two runs differ."""
         side = lambda i, name: self.all().filter(F.col("experiment_id") == i).select(F.explode(F.map_concat(F.coalesce("config", F.create_map().cast("map<string,string>")), F.coalesce(F.transform_values("metrics", lambda k, v: v.cast("string")), F.create_map().cast("map<string,string>")))).alias("key", name))
-        return side(a, "left").join(side(b, "right"), "key", "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+        return differing(side(a, "left"), side(b, "right"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +36,15 @@ def read_all(spark: SparkSession, paths: dict[str, str], required: set[str] = fr
 def with_row_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """A surrogate for input order: by the given columns' values, or by place in the files.
 
-    The latter rises with the place in the input but isn't consecutive.
+    Rows that share the values are numbered among each other, in the order of all columns, so that no
+    two rows share a row_id.  The place in the files rises but isn't consecutive.
     """
     if order:
         text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
-        return df.withColumn("row_id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+        digest = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
+        alike = W.partitionBy("_text").orderBy(*[c for c, t in df.dtypes if not t.startswith("map")])
+        x = df.withColumn("_text", text).withColumn("_nth", F.row_number().over(alike))
+        return x.withColumn("row_id", F.when(F.col("_nth") == 1, digest(F.col("_text"))).otherwise(digest(F.concat_ws("|", "_text", "_nth")))).drop("_text", "_nth")
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -56,6 +63,31 @@ def records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return df.filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+def record(spark: SparkSession, path: str) -> dict:
+    """One JSON file as a dictionary."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """name, position, value of NumPy files of vectors: a file is a task's."""
+    import pandas as pd
+
+    def load(frames):
+        import io
+
+        import numpy as np
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                if x.ndim != 1:
+                    raise ValueError(f"{name} has {x.ndim} dimensions")
+                yield pd.DataFrame({"name": name.rpartition("/")[2], "position": np.arange(len(x)), "value": x.astype(float)})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path)
+    return files.select("path", "content").mapInPandas(load, "name string, position long, value double")
+
+
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """name and sha256 of each file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)

@@ -47,10 +47,11 @@ def record(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """Markdown of small tables (aggregates), at most ``most`` rows each."""
+    """Markdown of small tables (aggregates), at most ``most`` rows each; it says where there are more."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
+        out += ["", f"The first {most} rows; there are more.", ""] if len(rows) > most else [""]
     return "\n".join(out)
