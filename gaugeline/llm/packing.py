@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
         made = 0
         with encoding(path) as enc:
             for batch in batches:
-                for i, j, texts in slices(batch.column("text"), SLICE):
+                for i, j, texts in slices(batch.column("text"), SLICE // 4):
                     ids, bounds = enc.encode_column(texts, end)
                     rows = [[], [], [], [], []]
                     for doc, a, b in zip(batch.column("doc_id")[i:j].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
