@@ -16,6 +16,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
+#: Bytes whose words are hashed at a time.
+STEP = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,6 +35,11 @@ def _power(which: str, base: int, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
+def forget() -> None:
+    """Gives the powers back, which are as many as the longest text so far asked for."""
+    _powers.update(up=np.ones(1, U), down=np.ones(1, U))
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts laid end to end: each word's hash, and where it starts and ends."""
     raw = _LOWER[raw] if lower else raw
@@ -44,8 +51,15 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     starts = np.flatnonzero(solid & (~before | edge[:n]))
     after = np.concatenate([solid[1:], [False]]) if n else solid
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    total = np.concatenate([np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * _power("up", _BASE, n))])
-    value = (total[ends] - total[starts]) * _power("down", _BACK, n)[starts]
+    value = np.empty(len(starts), U)
+    a = 0
+    while a < len(starts):
+        at = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, at + STEP, side="right")))
+        part = raw[at : ends[b - 1]]
+        total = np.concatenate([np.zeros(1, U), np.cumsum((part.astype(U) + U(1)) * _power("up", _BASE, len(part)))])
+        value[a:b] = (total[ends[a:b] - at] - total[starts[a:b] - at]) * _power("down", _BACK, len(part))[starts[a:b] - at]
+        a = b
     value = mixed(value + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
     return value, starts, ends
 
