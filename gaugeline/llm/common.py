@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
+
 #: Java regular expression of a run of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -72,7 +74,24 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/t"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote, once all that came of it is written itself."""
+    spark = written.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.written_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bucketed(df: DataFrame, keys: list[str], codec: str = "zstd") -> DataFrame:
+    """As ``materialize``, in buckets of the keys: joins on them shuffle the other side only."""
+    name = f"gaugeline_{uuid.uuid4().hex}"
+    rows = df.write.format("parquet").option("compression", codec).option("path", f"{shared_dir(df.sparkSession)}/t")
+    rows.bucketBy(partitions(df), *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def filesystem(uri: str):
@@ -106,6 +125,7 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
         try:
             yield from run(batches)
         finally:
+            shingles.forget()
             release_memory()
 
     return df.mapInArrow(task, schema)

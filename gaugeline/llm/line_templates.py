@@ -37,20 +37,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import near_duplicates, passages
-from .common import lookup, map_arrow, marked, materialize, partitions, row_key, table, text_of
+from .common import bucketed, discard, lookup, map_arrow, marked, materialize, partitions, row_key, table, text_of
 from .near_duplicates import components
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
 DEPTH, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 3, 3, 0.8, 2000
 #: Lines of so many words don't meet by chance: two documents make them recurring.
 LONG = 50
+#: Tokens are compared by 16 bits of their hashes: they agree by chance once in 65,536 times.
+TOKEN = np.dtype("<u2")
 #: The value of a variable field.
 FIELD = 0x5BD1E995
 LINES = "doc_id long, mark long, line int, tokens int, leaf long, signature long, first boolean, values binary"
 
 
 def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """A row per line that may be dropped; ``values`` are the tokens of a text's different lines as 32-bit hashes."""
+    """A row per line that may be dropped; ``values`` are the tokens of a text's different lines as 16-bit hashes."""
 
     def leading(values, starts, counts, k):
         out = counts.astype(U) * U(0xA0761D6478BD642F)
@@ -84,7 +86,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame
                 _, at = np.unique(np.stack([doc.astype(U), signature]), axis=1, return_index=True) if len(keep) else (None, [])
                 first = np.zeros(len(keep), dtype=bool)
                 first[at] = True
-                narrow = values.astype("<u4")
+                narrow = values.astype(TOKEN)
                 brief = [narrow[s : s + n].tobytes() if f else None for s, n, f in zip(starts.tolist(), counts.tolist(), first.tolist())]
                 columns = [*(c.slice(a, b - a).take(pa.array(doc)) for c in (ids, marks)), nth.astype(np.int32), counts.astype(np.int32), leading(values, starts, counts, depth).view(np.int64), signature.view(np.int64), first]
                 yield pa.RecordBatch.from_arrays([*columns[:2], *map(pa.array, columns[2:]), pa.array(brief, pa.binary())], names=[c.split()[0] for c in LINES.split(", ")])
@@ -111,12 +113,12 @@ class Templates:
 
     def __init__(self, n: int, similar: float = SIMILAR):
         self.least, self.blocks, self.names, self.found = similar * n, blocks(n, similar), [], {}
-        self.tokens, self.fixed = np.zeros((4, n), "<u4"), np.zeros((4, n), dtype=bool)
+        self.tokens, self.fixed = np.zeros((4, n), TOKEN), np.zeros((4, n), dtype=bool)
 
     def add(self, signature: int, values: bytes) -> int:
         """The signature of the line whose template it is."""
-        value = np.frombuffer(values, "<u4")
-        keys = [(a, values[4 * a : 4 * b]) for a, b in self.blocks]
+        value = np.frombuffer(values, TOKEN)
+        keys = [(a, values[2 * a : 2 * b]) for a, b in self.blocks]
         near = sorted({t for k in keys for t in self.found.get(k, ())})
         if near:
             equal = ((self.tokens[near] == value) & self.fixed[near]).sum(axis=1)
@@ -145,8 +147,8 @@ def chains(crowded: DataFrame, similar: float = SIMILAR) -> DataFrame:
         for batch in batches:
             keys, names = [], []
             for leaf, signature, values in zip(*(batch.column(c).to_pylist() for c in ("leaf", "signature", "values"))):
-                for a, b in blocks(len(values) // 4, similar):
-                    key = hashlib.blake2b(leaf.to_bytes(8, "little", signed=True) + a.to_bytes(4, "little") + values[4 * a : 4 * b], digest_size=8)
+                for a, b in blocks(len(values) // 2, similar):
+                    key = hashlib.blake2b(leaf.to_bytes(8, "little", signed=True) + a.to_bytes(4, "little") + values[2 * a : 2 * b], digest_size=8)
                     keys.append(int.from_bytes(key.digest(), "little", signed=True))
                     names.append(signature)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], names=["block", "b"])
@@ -167,7 +169,7 @@ def templates(several: DataFrame, similar: float = SIMILAR) -> DataFrame:
             signatures, names = batch.column("signature").to_pylist(), []
             for key, part, signature, values in zip(batch.column("leaf").to_pylist(), batch.column("part").to_pylist(), signatures, batch.column("values").to_pylist()):
                 if (key, part) != now:
-                    now, leaf = (key, part), Templates(len(values) // 4, similar)
+                    now, leaf = (key, part), Templates(len(values) // 2, similar)
                 names.append(leaf.add(signature, values))
             yield pa.RecordBatch.from_arrays([pa.array(signatures, pa.int64()), pa.array(names, pa.int64())], names=["signature", "template"])
 
@@ -183,7 +185,7 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS, long_: int = LONG, s
     leaves = materialize(seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
     several = materialize(lookup(seen, leaves, ["leaf"], "inner"))
     # only their tokens are shuffled; they follow from the signature
-    values = materialize(lookup(firsts.select("signature", "values"), several.select("signature"), ["signature"], "left_semi").dropDuplicates(["signature"]))
+    values = materialize(firsts.select("signature", "values").dropDuplicates(["signature"]).join(several.select("signature").hint("shuffle_hash"), "signature", "left_semi"))
     several = materialize(several.join(values, "signature"))
     crowded = several.filter(F.col("crowd") > crowd)
     if crowded.isEmpty():
@@ -234,21 +236,22 @@ def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CRO
 
     doc_id is beside the struct, so that no column name can clash.  ``copies`` is a similarity in percent.
     """
-    lines = materialize(parsed(docs))
+    every = materialize(parsed(docs))
     led = leaders(docs, copies) if copies else None
-    lines = passages.counted(lines, led)
-    gone = lookup(lines.select("doc_id", "mark", "line", "signature", "who"), recurring(lines.filter("NOT copy"), documents, crowd=crowd), ["signature"], "inner")
+    lines = passages.counted(every, led)
+    gone = lines.select("doc_id", "mark", "line", "signature", "who").join(recurring(lines.filter("NOT copy"), documents, crowd=crowd).hint("merge"), "signature")
     gone = gone.filter(~F.col("who").eqNullSafe(F.col("first_doc")))
     gone = materialize(gone.groupBy(row_key(), "mark").agg(F.collect_set("line").alias("dropped")))
+    discard(every)
     rest = [c for c in docs.columns if c != "doc_id"]
     carried = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     carried = carried.withColumns({"known": row_key(), "mark": F.xxhash64(text_of("row.text"))})
     # a shuffled join at every size: what is dropped grows with the texts
-    out = carried.join(gone.hint("merge"), ["known", "mark"], "left")
+    out = carried.join(gone.hint("shuffle_hash"), ["known", "mark"], "left")
     out = out.select("doc_id", "known", "mark", F.col("row").withField("text", without(F.col("row.text"), F.col("dropped"))).alias("row"), _lines("row.text").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
-    out = materialize(out)
-    spans = passages.recurring(out.select(F.col("doc_id").cast("long"), "mark", F.col("row.text").alias("text")), min(documents, 2), led)
-    out = lookup(out, spans, ["known", "mark"])
+    out = bucketed(out, ["known", "mark"])
+    spans = passages.recurring(out.select(F.col("doc_id").cast("long"), "known", "mark", F.col("row.text").alias("text")), min(documents, 2), led)
+    out = out.join(spans.hint("shuffle_hash"), ["known", "mark"], "left")
     out = out.withColumn("left", passages.without(F.col("row.text"), F.col("windows")))
     emptied = F.when(F.col("windows").isNull(), F.lit(0)).otherwise(_lines("row.text") - _lines("left"))
     return out.select("doc_id", F.col("row").withField("text", F.col("left")).alias("row"), "n_lines", (F.col("n_dropped") + emptied).alias("n_dropped"))

@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, map_arrow, marked, materialize, row_key
+from .common import discard, lookup, map_arrow, marked, materialize, row_key
 from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
 
-RUN, GRAM = 50, 25
+RUN, GRAM = 50, 12
 #: The value of a word with a digit.
 FIELD = 0x5BD1E995
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,17 +121,20 @@ def shared_most(docs: DataFrame, share: float = 0.25) -> DataFrame:
 
 
 def recurring(docs: DataFrame, documents: int, led: DataFrame | None = None) -> DataFrame:
-    """known, mark and the windows to drop, by their first words' numbers; ``docs`` (doc_id, mark, text) is a written table."""
+    """known, mark and the windows to drop, by their first words' numbers.
+
+    ``docs`` (doc_id, known, mark, text) is written in buckets of known and mark.  Joins are shuffled
+    ones at every size: what is looked up grows with the texts.
+    """
     found = materialize(anchors(docs))
     common = materialize(counted(found, led).filter("NOT copy").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents).select("anchor"))
-    lists = lookup(found, common, ["anchor"], "inner")
+    lists = found.join(common.hint("merge"), "anchor")
     lists = materialize(lists.groupBy(row_key(), "mark").agg(F.collect_set("anchor").alias("anchors")))
-    rows = docs.withColumn("known", row_key())
-    rows = lookup(rows, materialize(lists.select("known", "mark")), ["known", "mark"], "left_semi").join(lists.hint("merge"), ["known", "mark"])
-    seen = counted(materialize(met(rows)), led)
+    discard(found)
+    seen = counted(materialize(met(docs.join(lists.hint("shuffle_hash"), ["known", "mark"]))), led)
     # partial counts make a passage that stands in very many documents one row a task
     wanted = materialize(seen.filter("first AND NOT copy").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter(F.col("n") >= documents).filter("first_doc IS NOT NULL").drop("n"))
-    gone = lookup(seen, wanted, ["whole"], "inner").filter(~F.col("who").eqNullSafe(F.col("first_doc")))
+    gone = seen.join(wanted.hint("merge"), "whole").filter(~F.col("who").eqNullSafe(F.col("first_doc")))
     return materialize(gone.groupBy(row_key(), "mark").agg(F.collect_set("at").alias("windows")))
 
 

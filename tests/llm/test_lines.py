@@ -143,3 +143,34 @@ def test_passages_inside_lines_go(spark):
     assert {i: got[i] for i in (0, 9)} == {i: want[i] for i in (0, 9)}
     assert [got[i].split("\n")[0] for i in (1, 2)] == ["qx qy", "rx ry"]
     assert [short in got[i] for i in range(3)] == [True] * 3
+
+
+def test_passages_equal_brute_force(spark):
+    """Windows of 50 words, by comparing all texts: runs, edges of passages, repeats within a text."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    passages = [[word() for _ in range(n)] for n in (55, 90, 140)]
+    rows = []
+    for i in range(30):
+        text = [word() for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(passages)
+            a = r.randint(0, len(p) - 50)
+            text += p[a : r.randint(a + 45, len(p))] + [word() for _ in range(r.randint(0, 8))]
+        rows.append((i, " ".join(text)))
+    rows += [(100, rows[3][1]), (101, rows[3][1])]
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] != i:
+                gone |= set(range(k, k + 50))
+        want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    got = {x["doc_id"]: x["row"]["text"] for x in lt.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: " ".join(t.split()) for i, t in got.items()} == want
+    assert sum(want[i] != t for i, t in rows) > 10
