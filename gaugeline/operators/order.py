@@ -71,14 +71,14 @@ def shares(df: DataFrame, c: str, name: str) -> DataFrame:
     return df.join(ranked, c, "left").select(*df.columns, name)
 
 
-def nth(df: DataFrame, columns: list[str], k: int) -> list:
+def nth(df: DataFrame, columns: list[str], k: int, slice_: int = SLICE) -> list:
     """The values of the ``k``-th row, from 1, in an order without ties.
 
     Column after column: the value among whose rows the place is, then the place among those.
     """
     found, rows, kinds = [], df.select(*columns), dict(df.dtypes)
     for c in columns:
-        placed = ahead(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, {"_at": "_n"})
+        placed = ahead(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, {"_at": "_n"}, slice_=max(slice_, 1000))
         row = placed.filter((F.col("_at") < k) & (F.col("_at") + F.col("_n") >= k)).first()
         found.append(row[c])
         k -= row["_at"]

@@ -11,7 +11,7 @@ from .grid import purged, separated, strided
 from .windows import Series
 
 
-def by_row_count(df: DataFrame, by: list[str], test: float = 0.2) -> DataFrame:
+def by_row_count(df: DataFrame, by: list[str], test: float = 0.2, slices: int = order.MOST) -> DataFrame:
     """Adds ``part``: the last share of rows in an order without ties is "valid".
 
     The cut is at row int(n * (1 - test)); only that row's key is looked for, and no rows are ranked.
@@ -23,7 +23,7 @@ def by_row_count(df: DataFrame, by: list[str], test: float = 0.2) -> DataFrame:
     if cut == 0:
         return df.withColumn("part", F.lit("valid"))
     kinds = dict(df.dtypes)
-    last = F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, order.nth(df, by, cut))])
+    last = F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, order.nth(df, by, cut, max(1, n // slices)))])
     return df.withColumn("part", F.when(F.struct(*by) <= last, "train").otherwise("valid"))
 
 

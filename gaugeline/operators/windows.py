@@ -166,10 +166,10 @@ def ema(df: DataFrame, s: Series, c: str, spans) -> DataFrame:
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for w in spans for n in (f"{c}_ema_{w}", f"{c}_ema_diff_{w}")})
 
 
-def percent_rank(x: str, keys: tuple[str, ...]) -> Column:
+def percent_rank(x: str, keys: tuple[str, ...] = ()) -> Column:
     """The average rank of ties over the number of values of a group, unlike PERCENT_RANK.
 
-    For all rows of a table there is ``order.shares``.
+    Without keys all rows are one group, in one task; for large tables there is ``order.shares``.
     """
     every = W.partitionBy(*keys)
     peers = F.count(F.lit(1)).over(W.partitionBy(*keys, x))
