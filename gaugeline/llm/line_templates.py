@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import near_duplicates, passages
 from .common import bucketed, discard, lookup, map_arrow, marked, materialize, partitions, row_key, table, text_of
 from .near_duplicates import components
-from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
+from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, with_digit, word_hashes
 
 DEPTH, LEAST, DOCUMENTS, SIMILAR, CROWD = 3, 3, 3, 0.8, 2000
 #: Lines of so many words don't meet by chance: two documents make them recurring.
@@ -68,9 +68,8 @@ def parsed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame
             ids, marks = batch.column("doc_id"), batch.column("mark")
             for a, b, texts in slices(batch.column("text"), 1 << 21):
                 raw, offsets = laid_out(texts)
-                values, begins, ends = word_hashes(raw, offsets, lower=False)
-                digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-                field = digits[ends] > digits[begins]
+                values, begins, _ = word_hashes(raw, offsets, lower=False)
+                field = with_digit(raw, begins)
                 values[field] = U(FIELD)
                 lines = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(raw == 10) + 1]))
                 line = np.searchsorted(lines, begins, side="right") - 1
@@ -207,7 +206,7 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS, long_: int = LONG, s
 
 
 def without(text: Column, dropped: Column) -> Column:
-    """The text without the lines whose numbers are given."""
+    """The text without the lines whose numbers are given; texts that stay whole don't go to Python."""
 
     @F.pandas_udf("string")
     def cut(texts, numbers):
@@ -215,11 +214,14 @@ def without(text: Column, dropped: Column) -> Column:
 
         out = []
         for t, d in zip(texts, numbers):
-            gone = set() if d is None else set(d.tolist())
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
+            if d is None:
+                out.append(None)
+                continue
+            gone = set(d.tolist())
+            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
         return pd.Series(out, dtype=object)
 
-    return F.when(dropped.isNull(), text).otherwise(cut(F.coalesce(text, F.lit("")), dropped))
+    return F.when(dropped.isNull(), text).otherwise(cut(F.when(dropped.isNotNull(), F.coalesce(text, F.lit(""))), dropped))
 
 
 def leaders(docs: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +261,7 @@ def drop_recurring(docs: DataFrame, documents: int = DOCUMENTS, crowd: int = CRO
 
 def _lines(text: str) -> Column:
     """Lines with a word."""
-    return F.size(F.filter(F.split(text_of(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    return F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, lookup, map_arrow, marked, materialize, row_key
-from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, word_hashes
+from .shingles import U, _power, _BACK, _BASE, laid_out, mixed, slices, with_digit, word_hashes
 
 RUN, GRAM = 50, 12
 #: The value of a word with a digit.
@@ -29,9 +29,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def windows(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of an Arrow string array: each window's text, first word in it, anchor and hash, in order."""
     raw, offsets = laid_out(texts)
-    values, begins, ends = word_hashes(raw, offsets, lower=False)
-    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-    field = digits[ends] > digits[begins]
+    values, begins, _ = word_hashes(raw, offsets, lower=False)
+    field = with_digit(raw, begins)
     values[field] = U(FIELD)
     n = len(values)
     m = n - RUN + 1
@@ -172,6 +171,7 @@ def without(text: Column, starts: Column) -> Column:
     def run(texts, numbers):
         import pandas as pd
 
-        return pd.Series([t if d is None else cut(t, d.tolist()) for t, d in zip(texts, numbers)], dtype=object)
+        return pd.Series([None if d is None else cut(t, d.tolist()) for t, d in zip(texts, numbers)], dtype=object)
 
-    return F.when(starts.isNull(), text).otherwise(run(F.coalesce(text, F.lit("")), starts))
+    # texts that stay whole don't go to Python
+    return F.when(starts.isNull(), text).otherwise(run(F.when(starts.isNotNull(), F.coalesce(text, F.lit(""))), starts))

@@ -12,8 +12,6 @@ import numpy as np
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 #: Bytes whose words are hashed at a time.
@@ -43,7 +41,7 @@ def forget() -> None:
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts laid end to end: each word's hash, and where it starts and ends."""
     raw = _LOWER[raw] if lower else raw
-    solid = ~_BLANK[raw]
+    solid = ((raw - np.uint8(9)) > 4) & (raw != 32)
     n = len(raw)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -57,7 +55,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
         at = starts[a]
         b = max(a + 1, int(np.searchsorted(ends, at + STEP, side="right")))
         part = raw[at : ends[b - 1]]
-        total = np.concatenate([np.zeros(1, U), np.cumsum((part.astype(U) + U(1)) * _power("up", _BASE, len(part)))])
+        total = np.zeros(len(part) + 1, U)
+        np.add(part, U(1), out=total[1:])
+        total[1:] *= _power("up", _BASE, len(part))
+        np.cumsum(total, out=total)
         value[a:b] = (total[ends[a:b] - at] - total[starts[a:b] - at]) * _power("down", _BACK, len(part))[starts[a:b] - at]
         a = b
     value = mixed(value + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
@@ -75,6 +76,11 @@ def laid_out(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def with_digit(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether the words that begin there have a digit; between words there are only blanks."""
+    return np.logical_or.reduceat((raw - np.uint8(48)) < 10, begins) if len(begins) else np.zeros(0, dtype=bool)
+
+
 def shingle_sets(texts, width: int = 5):
     """Each text's sorted distinct shingle hashes; ``texts`` is an Arrow string array without nulls."""
     raw, offsets = laid_out(texts)
