@@ -6,13 +6,14 @@
    alone, the member that meets most others, which in a group of copies is the text they came from.
 3. Pairs whose likelihood allows the similarity are verified on their full sets; links make components.
 4. Buckets that still hold several components are compared in blocks of bounded size, but only across
-   components; what the likelihood allows is verified.  No pair that shares a bucket goes unexamined.
+   components; what the likelihood and a sharper sketch of eight times the registers allow is verified.
+   No pair that shares a bucket goes unexamined.
 5. A component's id is its least doc_id.
 
 Similarity is tested as ``100 * both >= percent * either`` on distinct shingles.  Texts with a
 similarity of 0.85 (36 bands of 7) share a bucket with probability 1 - 1e-6, of 0.8 (42 of 6) with
 1 - 3e-6.  The likelihood's bound is five standard errors below the similarity: by the normal
-approximation it drops about 3e-7 of links at exactly that similarity.
+approximation it drops about 3e-7 of links at exactly that similarity; the sharper sketch's bound drops as many.
 
 Nulls and texts without words have an empty set and link with nothing.  Rows that share a doc_id and
 the set fall together; rows that share a doc_id but not the set are linked apart.  A null doc_id takes part; its
@@ -120,9 +121,9 @@ def sets_of(texts: DataFrame, width: int = 5) -> DataFrame:
     return map_arrow(texts.select("node", "text"), run, "node long, set binary").dropDuplicates(["node"])
 
 
-def texts_of(docs: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and text of the documents in pairs (a, b)."""
-    places = every.join(nodes_of(pairs), "node", "left_semi").dropDuplicates(["node"]).select("node", row_key(), "mark")
+def texts_of(docs: DataFrame, every: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents in ``nodes``."""
+    places = every.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", row_key(), "mark")
     return marked(docs).select(row_key(), "mark", "text").join(places, ["known", "mark"])
 
 
@@ -145,6 +146,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return map_arrow(pairs, run, "a long, b long")
 
 
+def sharpened(sets: DataFrame) -> DataFrame:
+    """node and the sharp sketch of its set, some sets at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, sizes = 0, np.cumsum([len(s.as_buffer()) // 8 for s in batch.column("set")])
+            while a < batch.num_rows:
+                b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 16), side="right"))
+                b = min(max(a + 1, b), a + 256, batch.num_rows)
+                made = sk.sharp([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("set").slice(a, b - a)])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "sharp"])
+                a = b
+
+    return map_arrow(sets.select("node", "set"), run, "node long, sharp binary")
+
+
 def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Likely pairs of different components within buckets, each pair in the first bucket it shares.
 
@@ -156,6 +175,7 @@ def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT,
     def compare(band, rows):
         node, comp, n, part = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, sk.M)
+        sharp = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
         one = len({r[3] for r in rows}) == 1
         if (comp == comp[0]).all():
             return
@@ -164,6 +184,9 @@ def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT,
             j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
             if not one:  # pairs within a block are another group's
                 j = j[part[j] != part[i]]
+            if not len(j):
+                continue
+            j = j[sk.sharply(sharp[i], sharp[j], percent / 100)]
             if not len(j):
                 continue
             j = j[sk.at_least(sketch[i], sketch[j], n[i], n[j], bound)]
@@ -179,7 +202,7 @@ def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT,
         now, rows = None, []
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch", "sharp")]
             for bucket, x, y, *row in zip(*columns):
                 if (bucket, x, y) != now:
                     if rows:
@@ -195,7 +218,7 @@ def across(members: DataFrame, bound: float, width: int, percent: int = PERCENT,
     rows = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(parts == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
     rows = rows.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    rows = rows.select("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch")
+    rows = rows.select("bucket", "x", "y", "node", "comp", "n_shingles", "part", "sketch", "sharp")
     rows = rows.repartition(partitions(members), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     return map_arrow(rows, run, "a long, b long")
 
@@ -242,14 +265,16 @@ def grouped(docs: DataFrame, percent: int = PERCENT, width: int = 5, block: int
     pivots = materialize(members.groupBy("bucket").agg(F.max(F.struct(F.col("meets"), (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("pivot")))
     pairs = members.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     pairs = materialize(likely(pairs.distinct(), known, bound))
-    links = materialize(verified(pairs, materialize(sets_of(texts_of(docs, every, pairs), width)), percent))
+    links = materialize(verified(pairs, materialize(sets_of(texts_of(docs, every, nodes_of(pairs)), width)), percent))
     labels = components(links)
     # buckets whose members aren't all one component yet
     named = materialize(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = materialize(named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket"))
     rest = named.join(open_, "bucket").select("bucket", "size", "node", "comp")
-    more = materialize(across(rest.join(known, "node"), bound, rows, percent, block))
-    more = materialize(verified(more, materialize(sets_of(texts_of(docs, every, more), width)), percent))
+    sets = materialize(sets_of(texts_of(docs, every, rest.select("node").distinct()), width))
+    sharp = materialize(sharpened(sets))
+    more = materialize(across(rest.join(known, "node").join(sharp, "node"), bound, rows, percent, block))
+    more = materialize(verified(more, sets, percent))
     labels = components(materialize(links.union(more)))
     out = lookup(classed.drop("sketch", "key"), labels.select(F.col("node").alias("class"), "comp"), ["class"])
     out = out.select("doc_id", "mark", "node", "n_shingles", F.coalesce("comp", "class").alias("comp"))

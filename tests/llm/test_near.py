@@ -71,6 +71,20 @@ def test_sketches_merge_and_estimate():
     assert near == 100  # similarity 0.875
 
 
+def test_sharp_sketches_part_similarities():
+    r = np.random.default_rng(9)
+    x = r.integers(0, 2**63, 40_000, dtype=np.uint64)
+    for n in (100, 1000, 20_000):
+        # distinct elements in common over all: 0.85 and 0.75
+        near, far = round(n * 0.15 / 1.85), round(n * 0.25 / 1.75)
+        for k in range(20):
+            sets = [x[k : k + n], x[k + near : k + near + n], x[k + far : k + far + n]]
+            a, b, c = sk.sharp(sets)
+            assert sk.sharply(a, b, 0.85) and not sk.sharply(a, c, 0.85)
+            assert (sk.sharp(sets[:1])[0] == a).all() and len(a) == sk.SHARP // 4
+    assert sk.sharply(sk.sharp([x[:5]])[0], sk.sharp([x[:5], x[:9]]), 0.85).tolist() == [True, False]
+
+
 def test_classes_links_and_components_equal_brute_force(spark, tmp_path):
     r = random.Random(11)
     rows, doc = [], 1000
