@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,47 @@ def test_classes_links_and_components_equal_brute_force(spark, tmp_path):
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
+def exact_components(rows, percent=85):
+    """doc_id -> least doc_id of its component, by an exact join on the rarest shingles of each set."""
+    sets = {d: shingles(t) for d, t in rows}
+    often = Counter(x for v in sets.values() for x in v)
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    first, found = {}, defaultdict(list)
+    for d in sorted(sets, key=lambda d: (len(sets[d]), d)):
+        x = sets[d]
+        if x in first:
+            root[top(d)] = top(first[x])
+        elif x:
+            first[x] = d
+            # sets of the similarity have one of so many rarest shingles in common
+            rarest = sorted(x, key=lambda v: (often[v], v))[: len(x) - -(-percent * len(x) // 100) + 1]
+            for e in {e for v in rarest for e in found[v] if 100 * len(sets[e]) >= percent * len(x)}:
+                both = len(x & sets[e])
+                if 100 * both >= percent * (len(x) + len(sets[e]) - both):
+                    root[top(d)] = top(e)
+            for v in rarest:
+                found[v].append(d)
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(top(d), d)
+    return {d: least[top(d)] for d in sets}
+
+
+def test_components_of_a_whole_table_equal_an_exact_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = exact_components([tuple(r) for r in docs.collect()])
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs).collect()}
+    assert len(got) == len(want) and sum(d != c for d, c in want.items()) > 100
+    assert [d for d in want if want[d] != got[d]] == []
+
+
 def test_one_row_of_each_group_stays(spark):
     r = random.Random(3)
     text = [" ".join(r.choice("abcdefgh") + r.choice("ijklmnop") for _ in range(60)) for _ in range(5)]
