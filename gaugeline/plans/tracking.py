@@ -36,9 +36,9 @@ def ranked(df: DataFrame, name: str = "metric_name", score: str = "score", tie:
 
 
 def following(df: DataFrame, ids: str, prefix: str, width: int = 3) -> DataFrame:
-    """next_id: the prefix and one more than the largest number that follows it, as one row."""
-    found = F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("int")
-    return df.agg(F.concat(F.lit(prefix), F.format_string(f"%0{width}d", F.coalesce(F.max(found), F.lit(0)) + 1)).alias("next_id"))
+    """next_id, last: the prefix and one more than the largest number that follows it (1 if none does), at least ``width`` digits; that largest number.  One row."""
+    last = F.max(F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("int"))
+    return df.agg(F.concat(F.lit(prefix), F.format_string(f"%0{width}d", F.coalesce(last, F.lit(0)) + 1)).alias("next_id"), last.alias("last"))
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:
